@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +46,19 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """``df`` kept on the executors' disks for a second read; what is lost with an executor is computed again."""
     return df.persist(StorageLevel.DISK_ONLY)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once per application, wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        package = Path(__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="quirelake-code-")) / "quirelake_code.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(str(target))
