@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .arrow import map_batches
 
 _KEPT = "|ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -123,7 +124,7 @@ def look_alike_pairs(df: DataFrame, group: str, key: str, text: str = "content")
     all rows costs its own rows, not their square. Repeated rows count once; null keys, groups and
     texts are left out; a key with two texts of one class isn't paired with itself.
     """
-    rows = with_skeleton(df.where(F.col(group).isNotNull() & F.col(key).isNotNull()), [group, key], text)
+    rows = keep(with_skeleton(df.where(F.col(group).isNotNull() & F.col(key).isNotNull()), [group, key], text))
     # one row per class tells whether it has two writings: min and max are pre-aggregated before the shuffle
     mixed = rows.groupBy(group, "look").agg(F.min("written").alias("lo"), F.max("written").alias("hi")).where("lo <> hi").select(group, "look")
     rows = rows.join(mixed, [group, "look"], "left_semi").distinct()
