@@ -30,15 +30,24 @@ class Windows:
     def __init__(self) -> None:
         self.up = self.down = np.zeros(0, dtype=np.uint64)
 
+    def _total(self, values: np.ndarray) -> np.ndarray:
+        n = len(values)
+        if len(self.up) <= n:
+            self.up, self.down = _powers(_BASE, 2 * n + 1), _powers(_INVERSE, 2 * n + 1)
+        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(values) * self.up[:n], dtype=np.uint64)])
+
     def __call__(self, values: np.ndarray, width: int) -> np.ndarray:
         n = len(values)
         if n < width:
             return np.zeros(0, dtype=np.uint64)
-        if len(self.up) < n:
-            self.up, self.down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * self.up[:n], dtype=np.uint64)])
+        total = self._total(values)
         return mix((total[width:] - total[:-width]) * self.down[: n - width + 1])
 
+    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the spans from each start to its end."""
+        total = self._total(values)
+        return mix((total[ends] - total[starts]) * self.down[starts])
+
 
 def code_points(text: str) -> np.ndarray:
     """The text's code points, one per character."""

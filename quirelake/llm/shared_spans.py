@@ -4,14 +4,16 @@ Paragraph MinHash banding, with the paragraphs cut where the content says, so th
 holds whole shared paragraphs wherever it begins:
 
 1. Cut points are winnowed from the hashes of short character grams; a paragraph runs from each
-   cut point to the first one at least ``PARAGRAPH`` characters on. Paragraphs overlap, are 64 to
-   95 characters long, and a verbatim span of 200 characters always holds one of them whole
+   cut point to the first one at least ``PARAGRAPH`` characters on. Paragraphs overlap, are 104 to
+   127 characters long, and a verbatim span of 200 characters always holds one of them whole
    (margins of one winnowing window on both sides are the only places where the cut points of two
    texts may differ), with the same characters in both texts.
 2. Each paragraph has a MinHash signature over its grams. As only verbatim copies count, one band
-   of four rows has a recall of 1 for them (equal paragraphs have equal signatures) and hardly any
-   collision below a similarity of 0.9. Colliding paragraphs are found by the smallest and largest
-   text per band key, pre-aggregated, never by listing a bucket.
+   of four rows has a recall of 1 for them (equal paragraphs have equal signatures). Among many
+   texts of one style nearly every paragraph collides with some similar one, so a collision is
+   verified before anything is joined: the exact hash of the whole paragraph goes into the key.
+   Colliding paragraphs are found by the smallest and largest text per key, pre-aggregated, never
+   by listing a bucket.
 3. Around the colliding paragraphs every window of the least length is hashed and held against the
    other texts' in the same way; what is left is exact up to 64-bit collisions.
 4. Texts with a common window are linked to the smallest text of that window, and components of
@@ -32,7 +34,7 @@ from .arrow import map_batches
 from .rolling import Windows, code_points, mix, winnow
 
 LEAST = 200
-GRAM, STEP, PARAGRAPH = 8, 32, 64
+GRAM, STEP, PARAGRAPH = 8, 24, 96
 BANDS, ROWS = 1, 4
 
 
@@ -68,11 +70,13 @@ def _paragraph_rows(texts: DataFrame, kind: str, least: int) -> DataFrame:
     def work(cols: dict, windows: Windows) -> dict:
         counts, out = [], {"band_key": [], "a": [], "b": []}
         for t in cols["text"].to_pylist():
-            grams = windows(code_points(t), GRAM)
+            points = code_points(t)
+            grams = windows(points, GRAM)
             starts, ends = paragraphs(grams)
             counts.append(len(starts) * BANDS)
             if len(starts):
-                out["band_key"].append(signatures(grams, starts, ends).ravel().view(np.int64))
+                whole = windows.spans(points, starts, ends)
+                out["band_key"].append(mix(signatures(grams, starts, ends) ^ whole[:, None]).ravel().view(np.int64))
                 out["a"].append(np.repeat(starts, BANDS))
                 out["b"].append(np.repeat(ends, BANDS))
         return _spread(counts, out, cols["k"])
@@ -109,7 +113,7 @@ def _elsewhere(rows: DataFrame, by: str) -> DataFrame:
 
 def shared_windows(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
     """``k``, ``p``, ``first``: where a window of ``least`` characters starts that another text has too, and the smallest text with it."""
-    if least < 2 * STEP + PARAGRAPH + STEP + 2 * GRAM:
+    if least < 4 * (STEP - 1) + PARAGRAPH + GRAM:  # margin, first cut, paragraph, its end, margin
         raise ValueError("shorter spans need shorter paragraphs")
     texts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
     kind = dict(texts.dtypes)["k"]
