@@ -167,23 +167,24 @@ def most_similar(
     def spread(cols: dict) -> dict:
         x = _matrix(cols["unit"], dim)
         cell = np.concatenate([t * cells + h(x, probes) for t, h in enumerate(hashes)], 1)
-        asks = np.tile(np.arange(cell.shape[1]) % (cell.shape[1] // tables) > 0, len(x))
+        asks = np.tile(np.arange(cell.shape[1]) % (cell.shape[1] // tables) > 0, len(x))  # the nearest bucket is the vector's own
         at = pa.array(np.repeat(np.arange(len(x)), cell.shape[1]))
         return {"cell": pa.array(cell.ravel()), "stored": pa.array(~asks), "u": cols["u"].take(at), "unit": cols["unit"].take(at)}
 
     hot = map_batches(classes.select("unit"), homes, "cell bigint").groupBy("cell").count().where(F.col("count") > tile)
     placed = map_batches(classes, spread, "cell bigint, stored boolean, u bigint, unit binary")
     own = F.pmod(F.col("u"), F.col("tiles"))
+    lone = F.col("tiles") == 1  # then the stored vectors ask where they lie; else they are sent to every tile for it
     tiled = placed.join(hot.select("cell", F.ceil(F.col("count") / tile).alias("tiles")), "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)
-    stored = tiled.where("stored").select("cell", own.alias("m"), F.explode(every).alias("q"), F.lit(True).alias("stored"), "u", "unit")
-    asking = tiled.select("cell", F.explode(every).alias("m"), own.alias("q"), F.lit(False).alias("stored"), "u", "unit")
+    stored = tiled.where("stored").select("cell", own.alias("m"), F.explode(every).alias("q"), F.lit(True).alias("stored"), lone.alias("asks"), "u", "unit")
+    asking = tiled.where(~F.col("stored") | ~lone).select("cell", F.explode(every).alias("m"), own.alias("q"), F.lit(False).alias("stored"), F.lit(True).alias("asks"), "u", "unit")
 
     def search(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        kept = t.column("stored").to_numpy()
+        kept, asks = t.column("stored").to_numpy(), t.column("asks").to_numpy()
         x, u = _matrix(t.column("unit"), dim), t.column("u").to_numpy()
-        ids, others, values = meet(x[~kept], u[~kept], x[kept], u[kept], k, lowest) if kept.any() and not kept.all() else ([], [], [])
+        ids, others, values = meet(x[asks], u[asks], x[kept], u[kept], k, lowest) if kept.any() and asks.any() else ([], [], [])
         cat = lambda v, kind: np.concatenate(v) if v else np.zeros(0, dtype=kind)
         return pa.table({"u": cat(ids, np.int64), "o": cat(others, np.int64), "s": cat(values, np.float32)})
 
