@@ -97,9 +97,9 @@ def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
         if own:
             yield out()
 
-    found = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    found = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     counts = np.zeros(SLOTS, dtype=np.int32)
-    counts[found["slot"].to_numpy(dtype=np.int64)] = np.minimum(found["n"].to_numpy(dtype=np.int64), 2**31 - 1)
+    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
     return counts
 
 
@@ -383,8 +383,7 @@ def furniture_lines(df: DataFrame) -> DataFrame:
     """``block_id``, ``line_no`` of the running headers, footers and page numbers."""
     rows = keep(_with_corpus(keep(edge_lines(df))))
     # the parser's types as labels: lines of blocks of one line, in a fixed arbitrary order
-    labelled = rows.where("single and block_type is not null").select(F.col("block_type").isin(*FURNITURE).alias("gold"), *_COLUMNS).orderBy(F.xxhash64("block_id", "line_no")).limit(EDGES).toPandas().astype(object)
-    labelled = labelled.where(labelled.notna(), None).to_dict("records")
+    labelled = rows.where("single and block_type is not null").select(F.col("block_type").isin(*FURNITURE).alias("gold"), *_COLUMNS).orderBy(F.xxhash64("block_id", "line_no")).limit(EDGES).toArrow().to_pylist()
     # page numbers may stand at the top as well: they are shown there too
     labelled += [{**r, "top": 0, "bottom": 5, "next": None, "prev": None} for r in labelled if r["gold"] and len(r["key"] or "") <= 8 and r["bottom"] == 0]
     model = Perceptron()
