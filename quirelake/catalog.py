@@ -1,23 +1,672 @@
-"""The queries of the engine and the SQL they are held against."""
+"""The queries of the engine and the SQL they are held against.
+
+Each query runs over its whole tables. The corpus of keyword search is the documents' texts, asked
+with the evaluation items; hybrid search asks the chunks with the section and vector of every chunk
+whose id's last hexadecimal digits are divisible by 100.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as T
+from .operators import chunking, confidence, index, layout, retrieval, review
+from .operators import tables as tab
+from .sources import documents as src
 from .sources.tables import table
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+SP = T.SPACE
+TOK = f"flatten(list_transform(list_filter(regexp_split_to_array(lower(%s), '{SP}+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '{T.HAN}') THEN list_filter(string_split(w, ''), lambda c: c <> '') ELSE [w] END))"
+STRIP = f"regexp_replace(regexp_replace(%s, '^{SP}+', ''), '{SP}+$', '')"
+ASKED = "CAST('0x' || right(chunk_id, 4) AS INTEGER) % 100 = 0"
+FIRST_BLOCKS = "b AS (SELECT DISTINCT ON (block_id) * FROM blocks WHERE block_id IS NOT NULL ORDER BY block_id, content)"
+
+
+def _asked(c: str = "chunk_id", every: int = 100):
+    return F.conv(F.right(F.col(c), F.lit(4)), 16, 10).cast("int") % every == 0
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text", "lang", "source")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct chunks; of several rows of an id the one with the smallest content."""
+    rows = table(spark, d, "chunks").where("chunk_id is not null")
+    return rows.groupBy("chunk_id").agg(F.min_by(F.struct(*rows.columns), F.struct(F.coalesce("content", F.lit("")), F.col("metadata").isNull())).alias("r")).select("r.*")
+
+
+CHUNKS = "c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL ORDER BY chunk_id, coalesce(content, ''), metadata IS NULL)"
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct blocks."""
+    rows = table(spark, d, "blocks").where("block_id is not null")
+    return rows.groupBy("block_id").agg(F.min_by(F.struct(*rows.columns), F.coalesce("content", F.lit(""))).alias("r")).select("r.*")
+
+
+BLOCKS = "b AS (SELECT DISTINCT ON (block_id) * FROM blocks WHERE block_id IS NOT NULL ORDER BY block_id, coalesce(content, ''))"
+
+# indexes
+
+POSTINGS = f"""
+t AS (SELECT doc_id AS id, unnest({TOK % "text"}) AS term FROM documents WHERE text IS NOT NULL),
+p AS (SELECT term, id, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT doc_id AS id, len({TOK % "text"}) AS dl FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+r AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM r, s),
+i AS (SELECT term, df, greatest(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM w) ELSE raw END, 0.1::DOUBLE) AS idf FROM w)"""
+
+
+@query(f"WITH {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
+def term_stats(spark: SparkSession, d: str) -> DataFrame:
+    p = index.keyword_index(_docs(spark, d), "doc_id", "text").postings
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"WITH {POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM i")
+def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
+    return index.keyword_index(_docs(spark, d), "doc_id", "text").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _bm25_sql(allowed: str = "") -> str:
+    return f"""WITH {POSTINGS},
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOK % "text"}) AS term FROM eval_items) GROUP BY ALL),
+x AS (SELECT query_id, p.id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+      FROM q JOIN i USING (term) JOIN p USING (term) JOIN l ON l.id = p.id, s {allowed} GROUP BY ALL)
+SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x WHERE score > 0) WHERE rank <= 10"""
+
+
+@query(_bm25_sql())
+def bm25_search(spark: SparkSession, d: str) -> DataFrame:
+    return index.keyword_search(index.keyword_index(_docs(spark, d), "doc_id", "text"), _items(spark, d))
+
+
+@query(_bm25_sql("WHERE p.id IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
+def bm25_search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    allowed = _docs(spark, d).where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return index.keyword_search(index.keyword_index(_docs(spark, d), "doc_id", "text"), _items(spark, d), allowed=allowed)
+
+
+UNITS = """
+u0 AS (SELECT DISTINCT chunk_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM vectors WHERE embedding IS NOT NULL AND chunk_id IS NOT NULL),
+u1 AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM u0),
+u AS (SELECT id, list_transform(v, lambda x: x / norm) AS v FROM u1 WHERE norm > 0)"""
+
+
+def _vector_sql(where: str = "") -> str:
+    return f"""WITH {UNITS},
+x AS (SELECT q.id AS query_id, u.id, round(list_dot_product(q.v, u.v), 6) AS score FROM u AS q, u WHERE CAST('0x' || right(q.id, 4) AS INTEGER) % 100 = 0 AND len(q.v) = len(u.v) {where})
+SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 10"""
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return index.unit_vectors(table(spark, d, "vectors", "chunk_id", "embedding"), "chunk_id", "embedding")
+
+
+@query(_vector_sql())
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    u = _units(spark, d)
+    return index.vector_search(u, u.where(_asked("id")).withColumnRenamed("id", "query_id"))
+
+
+@query(_vector_sql("AND u.id IN (SELECT chunk_id FROM vectors WHERE source_file LIKE '%.pdf')"))
+def vector_search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    u = _units(spark, d)
+    allowed = table(spark, d, "vectors", "chunk_id", "source_file").where("source_file like '%.pdf'").select(F.col("chunk_id").alias("id")).distinct()
+    return index.vector_search(u.join(allowed, "id", "left_semi"), u.where(_asked("id")).withColumnRenamed("id", "query_id"))
+
+
+def _hybrid_queries(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    return _chunks(spark, d).where(_asked(every=every)).select(F.col("chunk_id").alias("query_id"), F.coalesce("metadata.section", F.lit("")).alias("query"))
+
+
+def _hybrid(spark: SparkSession, d: str, k: int = 10, every: int = 100) -> DataFrame:
+    queries, u = _hybrid_queries(spark, d, every), _units(spark, d)
+    words = index.keyword_search(index.keyword_index(_chunks(spark, d), "chunk_id", "content"), queries, 30)
+    near = index.vector_search(u, u.where(_asked("id", every)).withColumnRenamed("id", "query_id"), 30)
+    return index.fused(near, words, k)
+
+
+HYBRID = f"""{CHUNKS},
+t AS (SELECT chunk_id AS id, unnest({TOK % "content"}) AS term FROM c WHERE content IS NOT NULL),
+p AS (SELECT term, id, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT chunk_id AS id, len({TOK % "content"}) AS dl FROM c WHERE content IS NOT NULL),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+r AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM r, s),
+i AS (SELECT term, df, greatest(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM w) ELSE raw END, 0.1::DOUBLE) AS idf FROM w),
+q AS (SELECT chunk_id AS query_id, coalesce(metadata.section, '') AS query FROM c WHERE {ASKED}),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOK % "query"}) AS term FROM q) GROUP BY ALL),
+k0 AS (SELECT query_id, p.id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+       FROM qt JOIN i USING (term) JOIN p USING (term) JOIN l ON l.id = p.id, s GROUP BY ALL),
+k AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k0 WHERE score > 0) WHERE rank <= 30),
+{UNITS},
+v0 AS (SELECT q.id AS query_id, u.id, round(list_dot_product(q.v, u.v), 6) AS score FROM u AS q, u WHERE CAST('0x' || right(q.id, 4) AS INTEGER) % 100 = 0 AND len(q.v) = len(u.v)),
+v AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v0) WHERE rank <= 30),
+f AS (SELECT query_id, id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0), 6) AS score FROM v FULL JOIN k USING (query_id, id)),
+h AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10)"""
+
+
+@query(f"WITH {HYBRID} SELECT * FROM h")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d).select("query_id", "id", "score", "rank")
+
+
+# retrieval
+
+
+def _candidates(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    """The fused results with content and metadata."""
+    c = _chunks(spark, d).select(F.col("chunk_id").alias("id"), "content", "metadata")
+    return _hybrid(spark, d, every=every).select("query_id", "id", "score", "rank").join(c, "id")
+
+
+TERMS = f"""dw AS (SELECT h.query_id, unnest(regexp_split_to_array(c.content, '{SP}+')) AS term FROM h JOIN c ON c.chunk_id = h.id WHERE h.rank <= 5),
+dt AS (SELECT dw.query_id, term, count(*) AS n FROM dw JOIN q USING (query_id) WHERE length(term) >= 2 AND NOT contains(query, term) AND term NOT IN ({", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)}) GROUP BY ALL),
+dr AS (SELECT * FROM (SELECT query_id, term, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, length(term) DESC, term) AS rank FROM dt) WHERE rank <= 10)"""
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.domain_terms(_candidates(spark, d).where("rank <= 5"), _hybrid_queries(spark, d))
+
+
+@query(f"WITH {HYBRID}, {TERMS} SELECT * FROM dr")
+def domain_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _terms(spark, d)
+
+
+@query(f"WITH {HYBRID}, {TERMS} SELECT q.query_id, CASE WHEN count(term) >= 3 THEN q.query || ' ' || string_agg(term, ' ' ORDER BY rank) ELSE q.query END AS rerank_query FROM q LEFT JOIN dr USING (query_id) GROUP BY q.query_id, q.query")
+def rerank_query(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.expanded_queries(_hybrid_queries(spark, d), _terms(spark, d))
+
+
+RERANK = f"""rw AS (SELECT h.query_id, h.id, h.rank AS before, c.content, c.metadata, list_distinct(list_filter(regexp_split_to_array(lower(q.query), '{SP}+'), lambda w: w <> '')) AS ws FROM h JOIN c ON c.chunk_id = h.id JOIN q USING (query_id)),
+rs AS (SELECT query_id, id, before, content, metadata, round(1 / (1 + exp(-(4 * (len(list_filter(ws, lambda w: contains(lower(content), w)))::DOUBLE / greatest(len(ws), 1)) - 2))), 6) AS score FROM rw),
+rr AS (SELECT query_id, id, score, content, metadata, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM rs)"""
+
+
+def _reranked(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    return retrieval.reranked(_candidates(spark, d, every).drop("score"), _hybrid_queries(spark, d, every))
+
+
+@query(f"WITH {HYBRID}, {RERANK} SELECT query_id, id, score, rank FROM rr")
+def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return _reranked(spark, d).select("query_id", "id", "score", "rank")
+
+
+HEAD = "'[来源: ' || coalesce(metadata.source_file, '') || ' | 第' || coalesce(CAST(metadata.page_num AS VARCHAR), '0') || '页' || CASE WHEN coalesce(metadata.section, '') <> '' THEN ' | §' || metadata.section ELSE '' END || ' | 类型: ' || coalesce(metadata.chunk_type, 'text') || ']'"
+BLOCK = f"CASE WHEN metadata IS NULL THEN content ELSE concat_ws(chr(10), {HEAD}, content, {HEAD}) END"
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, {BLOCK} AS block, CAST(length(content) // 2 AS INTEGER) AS tokens FROM c")
+def context_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("chunk_id", retrieval.context_block().alias("block"), T.token_estimate(F.col("content")).alias("tokens"))
+
+
+def _last(mark: str) -> str:
+    m = "chr(10)" if mark == "\n" else f"'{mark}'"
+    return f"CASE WHEN contains(h, {m}) AND length(h) - strpos(reverse(h), {m}) > 400 THEN length(h) - strpos(reverse(h), {m}) END"
+
+
+@query(f"""WITH {CHUNKS}, x AS (SELECT chunk_id, content, substr(content, 1, 800) AS h FROM c),
+y AS (SELECT chunk_id, content, h, coalesce({", ".join(map(_last, retrieval.ENDS))}) AS pos FROM x)
+SELECT chunk_id, CASE WHEN length(content) <= 800 THEN content ELSE coalesce(substr(h, 1, pos + 1), h) || chr(10) || '[内容过长，已截断]' END AS cut FROM y""")
+def context_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("chunk_id", retrieval.truncated(F.col("content"), 400).alias("cut"))
+
+
+PACK = f"""pk0 AS (SELECT query_id, rank, id, {BLOCK} AS block, metadata FROM rr),
+pk1 AS (SELECT *, sum((length(block) + 2) // 2) OVER (PARTITION BY query_id ORDER BY rank) + greatest(rank - 2, 0) AS used FROM pk0),
+pk AS (SELECT query_id, rank, id, block, CAST(used AS BIGINT) AS used FROM pk1 WHERE used <= 3600)"""
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.packed_context(_reranked(spark, d))
+
+
+@query(f"WITH {HYBRID}, {RERANK}, {PACK} SELECT query_id, rank, id, used FROM pk UNION ALL SELECT query_id, rank, id, CAST(used AS BIGINT) FROM pk1 WHERE rank = 1 AND used > 3600")
+def context_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select("query_id", "rank", "id", F.col("used").cast("bigint").alias("used"))
+
+
+@query(f"WITH {HYBRID}, {RERANK}, {PACK} SELECT query_id, CAST(count(*) AS INTEGER) AS blocks, string_agg('[' || rank || '] ' || block, chr(10) || chr(10) ORDER BY rank) AS context FROM pk GROUP BY query_id")
+def context_text(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.context_texts(_packed(spark, d).where("used <= 3600"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, concat_ws(' | ', '📄 ' || metadata.source_file, '📍 第' || metadata.page_num || '页', CASE WHEN coalesce(metadata.section, '') <> '' THEN '📂 §' || metadata.section END) AS citation FROM c WHERE metadata IS NOT NULL")
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).where("metadata is not null").select("chunk_id", retrieval.citation().alias("citation"))
+
+
+CONF = "cf AS (SELECT query_id, round(0.6::DOUBLE * max(score) + 0.4::DOUBLE * least(count(*) / 10.0::DOUBLE, 1), 4) AS confidence FROM rr GROUP BY query_id)"
+
+
+@query(f"WITH {HYBRID}, {RERANK}, {CONF} SELECT query_id, confidence, CASE WHEN confidence >= 0.75 THEN 'accept' WHEN confidence >= 0.4 THEN 'review' ELSE 'reject' END AS decision FROM cf")
+def query_confidence(spark: SparkSession, d: str) -> DataFrame:
+    c = retrieval.query_confidence(_reranked(spark, d))
+    return c.withColumn("decision", retrieval.decision(F.col("confidence")))
+
+
+RESPONSE = f"""WITH {HYBRID}, {RERANK}, {CONF},
+best AS (SELECT query_id, id, content FROM rr WHERE rank = 1)
+SELECT q.query_id, coalesce(confidence, 0) AS confidence, CASE WHEN coalesce(confidence, 0) >= 0.75 THEN 'accept' WHEN coalesce(confidence, 0) >= 0.4 THEN 'review' ELSE 'reject' END AS decision,
+CASE WHEN confidence IS NULL THEN 'nothing found' WHEN confidence < 0.4 THEN 'low confidence' ELSE substr(content, 1, 200) END AS answer,
+CASE WHEN confidence >= 0.4 THEN id END AS source_id, coalesce(confidence >= 0.4 AND confidence < 0.75, false) AS needs_review
+FROM q LEFT JOIN cf USING (query_id) LEFT JOIN best USING (query_id)"""
+
+
+@query(RESPONSE)
+def query_response(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    """Batch hybrid retrieval to the answer: the best chunk's beginning as an extract, its source, confidence and route."""
+    results = _reranked(spark, d, every)
+    best = results.where("rank = 1").select("query_id", F.col("id").alias("source_id"), F.substring("content", 1, 200).alias("answer"))
+    out = _hybrid_queries(spark, d, every).select("query_id").join(retrieval.query_confidence(results), "query_id", "left").join(best, "query_id", "left")
+    nothing = F.col("confidence").isNull()
+    out = out.withColumn("nothing", nothing).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("decision", retrieval.decision(F.col("confidence")))
+    out = retrieval.routed(out, ["answer", "source_id"])
+    answer = F.when(F.col("nothing"), "nothing found").when(F.col("decision") == "reject", "low confidence").otherwise(F.col("answer"))
+    return out.select("query_id", "confidence", "decision", answer.alias("answer"), "source_id", "needs_review")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "lang")
+    """The answers to all chunks' sections."""
+    return query_response(spark, folder, 1)
+
+
+@query(f"WITH {HYBRID}, {RERANK}, ok AS (SELECT q.query_id, coalesce(bool_or(contains(lower(content), lower(query))), false) AND count(rr.id) >= 1 AS passed, count(rr.id) AS cites FROM q LEFT JOIN rr USING (query_id) GROUP BY q.query_id) SELECT count(*) AS asked, CAST(coalesce(count_if(passed), 0) AS BIGINT) AS passed, round(avg(cites), 6) AS avg_citations FROM ok")
+def eval_pass_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Queries one of whose results holds the asked section's name, and has a citation."""
+    q = _hybrid_queries(spark, d)
+    r = _reranked(spark, d).select("query_id", "id", "content")
+    hit = F.coalesce(F.bool_or(F.contains(F.lower("content"), F.lower("query"))), F.lit(False)) & (F.count("id") >= 1)
+    per = q.join(r, "query_id", "left").groupBy("query_id").agg(hit.alias("passed"), F.count("id").alias("cites"))
+    return per.agg(F.count("*").alias("asked"), F.count_if("passed").alias("passed"), F.round(F.avg("cites"), 6).alias("avg_citations"))
+
+
+# sinks and caches
+
+
+@query("SELECT chunk_id, coalesce(content, '')[1:1000] AS payload, coalesce(metadata.source_file, '') AS source_file, coalesce(metadata.page_num, 0) AS page_num, coalesce(metadata.chunk_type, 'text') AS chunk_type FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL ORDER BY chunk_id, coalesce(content, ''), metadata IS NULL) SEMI JOIN (SELECT chunk_id FROM vectors WHERE embedding IS NOT NULL) USING (chunk_id)")
+def index_payload(spark: SparkSession, d: str) -> DataFrame:
+    """What the vector index keeps of each chunk that has a vector."""
+    c = _chunks(spark, d).join(table(spark, d, "vectors", "chunk_id", "embedding").where("embedding is not null").select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return c.select("chunk_id", F.substring(F.coalesce("content", F.lit("")), 1, 1000).alias("payload"), F.coalesce("metadata.source_file", F.lit("")).alias("source_file"), F.coalesce("metadata.page_num", F.lit(0)).alias("page_num"), F.coalesce("metadata.chunk_type", F.lit("text")).alias("chunk_type"))
+
+
+@query(f"WITH {CHUNKS}, m AS (SELECT max(metadata.source_file) AS f FROM c) SELECT chunk_id, metadata.source_file AS source_file FROM c, m WHERE coalesce(metadata.source_file <> f, true)")
+def delete_by_source(spark: SparkSession, d: str) -> DataFrame:
+    c = _chunks(spark, d).select("chunk_id", F.col("metadata.source_file").alias("source_file"))
+    return index.without_source(c, "source_file", c.agg(F.max("source_file")).first()[0])
+
+
+@query("SELECT chunk_id, any_value(source_file) AS source_file, CAST(max(len(embedding)) AS INTEGER) AS dim FROM vectors WHERE source_file IS NOT NULL AND embedding IS NOT NULL GROUP BY chunk_id")
+def upsert_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The index after the vectors of PDF files are delivered a second time."""
+    v = table(spark, d, "vectors").where("source_file is not null and embedding is not null").select("chunk_id", "source_file", F.size("embedding").alias("dim")).distinct()
+    return index.upserted(v, v.where("source_file like '%.pdf'"), "chunk_id")
+
+
+@query("SELECT DISTINCT sha256(text)[1:16] AS content_key, md5(source || '|' || lang)[1:12] AS source_key FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
+def cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).where("text is not null and source is not null and lang is not null")
+    return rows.select(T.content_key(F.col("text")).alias("content_key"), T.pair_key(F.col("source"), F.col("lang")).alias("source_key")).distinct()
+
+
+@query("SELECT DISTINCT sha256(c.content)[1:16] AS key FROM chunks c WHERE content IS NOT NULL AND sha256(c.content)[1:16] NOT IN (SELECT sha256(c2.content)[1:16] FROM chunks c2 JOIN vectors v USING (chunk_id) WHERE c2.content IS NOT NULL AND len(v.embedding) = 64)")
+def embed_cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Contents to encode: those whose key has no cached vector of the right length, each once."""
+    c = table(spark, d, "chunks", "chunk_id", "content").where("content is not null").withColumn("key", T.content_key(F.col("content")))
+    good = table(spark, d, "vectors", "chunk_id", "embedding").where("size(embedding) = 64").select("chunk_id").distinct()
+    cache = c.join(good, "chunk_id", "left_semi").select("key", F.lit("v").alias("value"), (F.current_timestamp() + F.expr("interval 7 days")).alias("expires_at")).distinct()
+    return retrieval.with_cache(c.select("key").distinct(), cache, "key", F.current_timestamp()).where("not hit").select("key")
+
+
+# sources and layout
+
+
+@query("SELECT doc_id, page_num, CAST(greatest(1, length(text) // 3000) AS INTEGER) AS estimated, regexp_matches(text, '[∑∫∂√π∞Δλ→≈∈⊂]') AS formula FROM (SELECT DISTINCT doc_id, page_num, text FROM pages WHERE text IS NOT NULL)")
+def page_flags(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages", "doc_id", "page_num", "text").where("text is not null").distinct()
+    return p.select("doc_id", "page_num", T.estimated_pages(F.length("text")).alias("estimated"), T.formula_flag(F.col("text")).alias("formula"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, page_num, string_agg(content || chr(10), '' ORDER BY block_idx, content) AS text FROM b WHERE content IS NOT NULL GROUP BY ALL")
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    return src.page_texts(_blocks(spark, d).where("content is not null"))
+
+
+@query(f"SELECT DISTINCT doc_id, filename, CASE WHEN lower(regexp_extract(filename, '\\.([^.]+)$', 1)) = 'pdf' THEN 'pdf' ELSE 'docx' END AS loader FROM parsed_documents WHERE filename IS NOT NULL")
+def loaders(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parsed_documents", "doc_id", "filename").where("filename is not null").distinct()
+    return p.select("doc_id", "filename", src.loader(F.col("filename")).alias("loader"))
+
+
+_STYLE = " ".join(f"WHEN metadata.style = '{k}' THEN '{v}'" for k, v in layout.STYLES.items())
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, CASE {_STYLE} WHEN metadata.max_font_size >= 18 THEN 'title' WHEN metadata.max_font_size >= 14 THEN 'section_heading' WHEN length(content) <= 60 AND regexp_matches(content, '{layout.NUMBERED_HEADING}') THEN 'section_heading' ELSE 'text' END AS kind FROM b WHERE content IS NOT NULL")
+def styled_types(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).where("content is not null").select("block_id", layout.styled_type(F.col("metadata.style"), F.col("metadata.max_font_size"), F.col("content")).alias("kind"))
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, CASE WHEN lower(content) LIKE 'table %' OR content LIKE '表 %' THEN 'table_caption' WHEN lower(content) LIKE 'figure %' OR content LIKE '图 %' THEN 'figure_caption' WHEN metadata.max_font_size >= 18 THEN 'title' WHEN metadata.max_font_size >= 12 THEN 'section_heading' ELSE 'text' END AS class FROM b WHERE content IS NOT NULL")
+def block_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).where("content is not null").select("block_id", layout.block_class(F.col("metadata.max_font_size"), F.col("content")).alias("class"))
+
+
+_LABELS = [*layout.CATEGORIES, "text", "abstract", "algorithm", "number", "unknown"]
+
+
+@query("SELECT label, CASE " + " ".join(f"WHEN label = '{k}' THEN '{v}'" for k, v in layout.CATEGORIES.items()) + " ELSE 'text' END AS category FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in _LABELS) + "]) AS label)")
+def label_map(spark: SparkSession, d: str) -> DataFrame:
+    labels = spark.createDataFrame([(x,) for x in _LABELS], "label string")
+    return labels.select("label", layout.category(F.col("label")).alias("category"))
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, CASE coalesce(block_type, 'text') WHEN 'heading' THEN 'section_heading' WHEN 'image' THEN 'figure' WHEN 'unknown' THEN 'text' ELSE coalesce(block_type, 'text') END AS category, round(coalesce(nullif(confidence, 0), 0.85), 6) AS confidence, content[1:200] AS text FROM b")
+def block_elements(spark: SparkSession, d: str) -> DataFrame:
+    return layout.layout_elements(_blocks(spark, d)).select("block_id", "category", F.round("confidence", 6).alias("confidence"), "text")
+
+
+TWO = "tc AS (SELECT doc_id, page_num, count(*) >= 3 AND count_if(bbox.x1 <= 297.5 - 0.08 * 595) / count(*) >= 0.25 AND count_if(bbox.x0 >= 297.5 + 0.08 * 595) / count(*) >= 0.25 AS two_columns FROM b WHERE bbox IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {BLOCKS}, {TWO} SELECT * FROM tc")
+def two_columns(spark: SparkSession, d: str) -> DataFrame:
+    return layout.two_columns(_blocks(spark, d))
+
+
+@query(f'WITH {BLOCKS}, {TWO} SELECT block_id, CAST(row_number() OVER (PARTITION BY b.doc_id, b.page_num ORDER BY bbox.y0, CASE WHEN two_columns THEN CAST(bbox.x0 >= 297.5 AS INTEGER) ELSE 0 END, block_idx, block_id) - 1 AS INTEGER) AS "order" FROM b JOIN tc USING (doc_id, page_num) WHERE bbox IS NOT NULL')
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    return layout.reading_order(_blocks(spark, d)).select("block_id", "order")
+
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).select("doc_id", (F.col("page_num") * 1000000 + F.col("block_idx")).cast("bigint").alias("element_idx"), F.col("block_type").alias("category"), F.col("content").alias("text"))
+
+
+_HEADS = ", ".join(f"'{h}'" for h in layout.HEADINGS)
+TREE = f"""e AS (SELECT doc_id, CAST(page_num AS BIGINT) * 1000000 + block_idx AS element_idx, block_type AS category, content AS text FROM b),
+tr AS (SELECT doc_id, element_idx, category, text[1:120] AS text, CASE WHEN NOT coalesce(lower(category) IN ({_HEADS}), false) THEN last_value(CASE WHEN lower(category) IN ({_HEADS}) THEN element_idx END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY element_idx) END AS parent_idx FROM e)"""
+
+
+@query(f"WITH {BLOCKS}, {TREE} SELECT doc_id, element_idx, coalesce(parent_idx, -1) AS parent_idx FROM tr")
+def layout_tree(spark: SparkSession, d: str) -> DataFrame:
+    return layout.layout_tree(_elements(spark, d)).select("doc_id", "element_idx", F.coalesce("parent_idx", F.lit(-1)).alias("parent_idx"))
+
+
+@query(f"WITH {BLOCKS}, {TREE} SELECT doc_id, element_idx, CASE WHEN parent_idx IS NULL THEN '' ELSE '  ' END || '[' || coalesce(category, '') || '] ' || coalesce(text, '')[1:60] AS line FROM tr")
+def tree_text(spark: SparkSession, d: str) -> DataFrame:
+    return layout.tree_lines(layout.layout_tree(_elements(spark, d)))
+
+
+_I = "CASE WHEN least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) THEN (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) ELSE 0 END"
+
+
+@query(f"""WITH {BLOCKS}, o AS (SELECT doc_id, page_num, block_id, bbox, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY block_idx, block_id) AS place FROM b WHERE bbox IS NOT NULL),
+pr AS (SELECT p.block_id AS id_a, n.block_id AS id_b, p.bbox AS a, n.bbox AS b FROM o p JOIN o n ON p.doc_id = n.doc_id AND p.page_num = n.page_num AND n.place = p.place + 1),
+z AS (SELECT id_a, id_b, {_I} AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM pr)
+SELECT id_a, id_b, round(CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END, 6) AS iou FROM z""")
+def bbox_iou(spark: SparkSession, d: str) -> DataFrame:
+    return layout.neighbours(_blocks(spark, d)).select("id_a", "id_b", F.round(layout.iou("a", "b"), 6).alias("iou"))
+
+
+@query(f"""WITH {BLOCKS}, rg AS (SELECT doc_id, page_num, block_id AS region_id, bbox AS r FROM b WHERE block_type IN ('figure', 'table') AND bbox IS NOT NULL),
+tx AS (SELECT region_id, sum(length(content)) AS chars FROM rg JOIN b USING (doc_id, page_num) WHERE block_type = 'text' AND bbox IS NOT NULL AND NOT (r.x1 < bbox.x0 OR bbox.x1 < r.x0 OR r.y1 < bbox.y0 OR bbox.y1 < r.y0) GROUP BY region_id)
+SELECT region_id, CAST(coalesce(chars, 0) AS BIGINT) AS chars, coalesce(chars, 0) > 30 AS has_text FROM rg LEFT JOIN tx USING (region_id)""")
+def region_text(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d)
+    regions = b.where("block_type in ('figure', 'table') and bbox is not null").select("doc_id", "page_num", F.col("block_id").alias("region_id"), F.col("bbox").alias("region"))
+    return layout.has_text(regions, b)
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, round(least(0.95, 0.5 + length(content) / 2000.0), 6) AS page_confidence FROM b WHERE metadata.source = 'qwen_vl_page_recognizer' AND content IS NOT NULL")
+def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d).where("metadata.source = 'qwen_vl_page_recognizer' and content is not null")
+    return b.select("block_id", F.round(layout.page_confidence(F.col("content")), 6).alias("page_confidence"))
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, {STRIP % "regexp_replace(content, '```[a-z]*', '', 'g')"} AS latex, CASE WHEN {STRIP % "regexp_replace(content, '```[a-z]*', '', 'g')"} LIKE '$$%' THEN 0.85 ELSE 0.7 END::DOUBLE AS formula_confidence FROM b WHERE block_type = 'formula'")
+def formulas(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d).where("block_type = 'formula'")
+    return b.select("block_id", layout.cleaned_formula(F.col("content")).alias("latex"), layout.formula_confidence(F.col("content")).alias("formula_confidence"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size * 20 < 600 THEN greatest(2, 600 // (p_size * 20) + 1) ELSE 1 END AS INTEGER) AS scale FROM part WHERE p_size > 0")
+def image_scale(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part", "p_partkey", "p_size").where("p_size > 0").select("p_partkey", layout.image_scale(F.col("p_size") * 20).alias("scale"))
+
+
+# tables
+
+_ROWS = f"""ln AS (SELECT block_id AS id, list_filter(list_transform(string_split(content, chr(10)), lambda s: {STRIP % "s"}), lambda s: contains(s, '|')) AS lines FROM b WHERE content IS NOT NULL),
+dt AS (SELECT id, list_transform(list_filter(lines, lambda s: NOT regexp_full_match(s, '[|\\- ]+')), lambda s: list_transform(string_split(regexp_replace(regexp_replace(s, '^\\|+', ''), '\\|+$', ''), '|'), lambda c: {STRIP % "c"})) AS data FROM ln WHERE len(lines) >= 2),
+rw AS (SELECT id, CAST(generate_subscripts(data, 1) - 1 AS INTEGER) AS row_index, unnest(data) AS cells, len(data[1]) AS width FROM dt)"""
+
+
+def _table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return tab.markdown_rows(_blocks(spark, d), "block_id", "content")
+
+
+@query(f"WITH {BLOCKS}, {_ROWS} SELECT id, row_index, CAST(generate_subscripts(cells[1:width], 1) - 1 AS INTEGER) AS col_index, unnest(cells[1:width]) AS text, row_index = 0 AS is_header FROM rw")
+def table_cells(spark: SparkSession, d: str) -> DataFrame:
+    return tab.cells(_table_rows(spark, d))
+
+
+@query(f"""WITH {BLOCKS}, {_ROWS}, mx AS (SELECT id, max(len(cells[1:width])) AS n FROM rw GROUP BY id),
+li AS (SELECT id, row_index::DOUBLE AS pos, '| ' || array_to_string(list_transform(range(n), lambda k: coalesce(cells[1:width][k + 1], '')), ' | ') || ' |' AS line FROM rw JOIN mx USING (id)
+UNION ALL SELECT id, 0.5, '| ' || array_to_string(list_transform(range(n), lambda k: '---'), ' | ') || ' |' FROM mx)
+SELECT id, string_agg(line, chr(10) ORDER BY pos) AS markdown FROM li GROUP BY id""")
+def table_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return tab.rendered(tab.cells(_table_rows(spark, d)))
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, lower(block_type) AS kind FROM b WHERE lower(block_type) IN ('table', 'table_caption', 'table_content')")
+def table_regions(spark: SparkSession, d: str) -> DataFrame:
+    return tab.table_regions(_blocks(spark, d), "block_type").select("block_id", F.lower("block_type").alias("kind"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq, l_partkey AS table_id, CAST(l_quantity AS INTEGER) AS n_rows, CAST(l_quantity AS INTEGER) % 3 AS n_cols, CAST(l_partkey % 2 AS INTEGER) AS header_rows FROM lineitem),
+j AS (SELECT *, coalesce(header_rows = 0 AND n_cols > 0 AND n_cols = lag(n_cols) OVER w, false) AS joins FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+k AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM j),
+m AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY seq) - 1) // 2 AS pair FROM k)
+SELECT doc_id, min(seq) AS seq, arg_min(table_id, seq) AS table_id, CAST(sum(n_rows) AS INTEGER) AS n_rows, count(*) > 1 AS is_page_break FROM m GROUP BY doc_id, run, pair""")
+def table_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of tables that continue over pages, on tables derived from order lines."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").withColumn("seq", F.row_number().over(order).cast("bigint"))
+    n = F.col("l_quantity").cast("int")
+    t = rows.select(F.col("l_orderkey").alias("doc_id"), "seq", F.col("l_partkey").alias("table_id"), n.alias("n_rows"), (n % 3).alias("n_cols"), (F.col("l_partkey") % 2).cast("int").alias("header_rows"))
+    return tab.merged_over_pages(t)
+
+
+# chunks
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, regexp_matches(content, '{chunking.QUESTION}') AND NOT regexp_matches(content, '{chunking.OPTIONS_ONLY}') AS question FROM b WHERE content IS NOT NULL")
+def question_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).where("content is not null").select("block_id", chunking.question(F.col("content")).alias("question"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents cut into chunks anew, from their blocks."""
+    return chunking.chunk_documents(_blocks(spark, d))
+
+
+@query(f"WITH {CHUNKS} SELECT coalesce(nullif(metadata.chunk_level, ''), 'paragraph') AS level, count(*) AS n FROM c GROUP BY 1")
+def chunk_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).groupBy(F.coalesce(F.nullif(F.col("metadata.chunk_level"), F.lit("")), F.lit("paragraph")).alias("level")).agg(F.count("*").alias("n"))
+
+
+# confidence
+
+DIMS = """lq AS (SELECT doc_id, avg(coalesce(nullif(confidence, 0), 0.85)) AS v FROM b GROUP BY doc_id),
+oc AS (SELECT doc_id, coalesce(avg(confidence), 0) AS v FROM b GROUP BY doc_id),
+ti AS (SELECT doc_id, CASE WHEN count_if(metadata.num_rows > 0 AND metadata.num_cols > 0) = count(*) THEN 1.0 WHEN count_if(metadata.num_rows > 0 AND metadata.num_cols > 0) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS v FROM b WHERE block_type = 'table' GROUP BY doc_id),
+cc AS (SELECT doc_id, avg(CASE WHEN length(content) > 0 AND metadata IS NOT NULL THEN 1.0 ELSE 0.0 END) AS v FROM c GROUP BY doc_id),
+ds AS (SELECT DISTINCT doc_id FROM parsed_documents),
+dm AS (SELECT doc_id, coalesce(lq.v, 0) AS layout_quality, coalesce(oc.v, 0) AS ocr_confidence, coalesce(ti.v, 0) AS table_integrity, coalesce(cc.v, 0) AS chunk_coherence FROM ds LEFT JOIN lq USING (doc_id) LEFT JOIN oc USING (doc_id) LEFT JOIN ti USING (doc_id) LEFT JOIN cc USING (doc_id)),
+dc AS (SELECT *, round(0.25 * layout_quality + 0.2 * ocr_confidence + 0.15 * table_integrity + 0.2 * chunk_coherence + 0.2, 4) AS overall FROM dm)"""
+
+
+def _doc_confidence(spark: SparkSession, d: str) -> DataFrame:
+    b, c = _blocks(spark, d), _chunks(spark, d)
+    tables = b.where("block_type = 'table'").select("doc_id", F.coalesce("metadata.num_rows", F.lit(0)).alias("n_rows"), F.coalesce("metadata.num_cols", F.lit(0)).alias("n_cols"))
+    docs = table(spark, d, "parsed_documents", "doc_id")
+    return confidence.document_confidence(docs, layout_quality=confidence.layout_quality(layout.layout_elements(b)), ocr_confidence=confidence.ocr_confidence(b), table_integrity=confidence.table_integrity(tables), chunk_coherence=confidence.chunk_coherence(c))
+
+
+@query(f"WITH {BLOCKS}, {CHUNKS}, {DIMS} SELECT doc_id, round(layout_quality, 6) AS layout_quality, round(ocr_confidence, 6) AS ocr_confidence, table_integrity, round(chunk_coherence, 6) AS chunk_coherence, overall FROM dc")
+def doc_confidence(spark: SparkSession, d: str) -> DataFrame:
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return _doc_confidence(spark, d).select("doc_id", r6("layout_quality"), r6("ocr_confidence"), "table_integrity", r6("chunk_coherence"), "overall")
+
+
+@query(f"""WITH {BLOCKS}, {CHUNKS}, {DIMS}, ic AS (SELECT c.doc_id, count(*) AS n FROM c SEMI JOIN (SELECT chunk_id FROM vectors WHERE embedding IS NOT NULL) USING (chunk_id) GROUP BY c.doc_id),
+x AS (SELECT doc_id, CASE WHEN overall >= 0.75 THEN 'accept' WHEN overall >= 0.4 THEN 'review' ELSE 'reject' END AS category, coalesce(n, 0) AS indexed_count FROM dc LEFT JOIN ic USING (doc_id))
+SELECT doc_id, category, indexed_count, category <> 'accept' OR indexed_count = 0 AS needs_review, CASE WHEN category <> 'accept' OR indexed_count = 0 THEN 'review' ELSE 'indexed' END AS status FROM x""")
+def doc_review_decision(spark: SparkSession, d: str) -> DataFrame:
+    have = table(spark, d, "vectors", "chunk_id", "embedding").where("embedding is not null").select("chunk_id").distinct()
+    indexed = _chunks(spark, d).join(have, "chunk_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("indexed_count"))
+    out = confidence.review_decision(_doc_confidence(spark, d), indexed, retrieval.decision(F.col("overall")))
+    return out.select("doc_id", "category", "indexed_count", "needs_review", "status")
+
+
+# tasks, review, feedback
+
+TASKS = "tk AS (SELECT CAST(o_orderkey AS VARCHAR) AS task_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'indexed' ELSE 'review' END AS status, o_orderstatus = 'P' AS needs_review, CAST(o_custkey AS VARCHAR) AS filename, o_totalprice FROM orders)"
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return o.select(F.col("o_orderkey").cast("string").alias("task_id"), F.col("o_orderkey").alias("seq"), F.when(s == "O", "queued").when(s == "F", "indexed").otherwise("review").alias("status"), (s == "P").alias("needs_review"), F.col("o_custkey").cast("string").alias("filename"), "o_totalprice")
+
+
+FEEDBACK = "fb AS (SELECT DISTINCT * FROM feedback)"
+
+
+def _feedback(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "feedback").distinct()
+
+
+@query(f"WITH {TASKS} SELECT task_id, row_number() OVER (ORDER BY seq, task_id) AS position FROM tk WHERE status = 'queued'")
+def queue_position(spark: SparkSession, d: str) -> DataFrame:
+    return review.queue_positions(_tasks(spark, d))
+
+
+@query(f"WITH {TASKS} SELECT status, count(*) AS tasks, round(sum(o_totalprice), 2) AS total FROM tk GROUP BY status")
+def queue_status(spark: SparkSession, d: str) -> DataFrame:
+    return _tasks(spark, d).groupBy("status").agg(F.count("*").alias("tasks"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT count(DISTINCT doc_id) AS documents, (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunks, count(DISTINCT doc_id) FILTER (WHERE status IN ('queued', 'processing')) AS in_work FROM parsed_documents")
+def dashboard(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parsed_documents", "doc_id", "status")
+    a = p.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("status").isin("queued", "processing"), F.col("doc_id"))).alias("in_work"))
+    n = table(spark, d, "chunks", "chunk_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+    return a.crossJoin(F.broadcast(n)).select("documents", "chunks", "in_work")  # one row each
+
+
+@query("SELECT doc_id, coalesce(max(filename), '') AS filename, coalesce(max(status), 'uploaded') AS status, coalesce(max(total_pages), 0) AS total_pages FROM parsed_documents GROUP BY doc_id")
+def list_documents(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parsed_documents").groupBy("doc_id")
+    return p.agg(F.coalesce(F.max("filename"), F.lit("")).alias("filename"), F.coalesce(F.max("status"), F.lit("uploaded")).alias("status"), F.coalesce(F.max("total_pages"), F.lit(0)).alias("total_pages"))
+
+
+@query(f"WITH {TASKS} SELECT task_id, filename FROM tk WHERE needs_review AND task_id NOT IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R')")
+def pending_reviews(spark: SparkSession, d: str) -> DataFrame:
+    decided = table(spark, d, "lineitem", "l_orderkey", "l_returnflag").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("task_id"))
+    return review.pending(_tasks(spark, d), decided).select("task_id", "filename")
+
+
+@query(f"""WITH {BLOCKS}, {FEEDBACK}, e0 AS (SELECT seq, ts, unnest(edited_blocks) AS e, generate_subscripts(edited_blocks, 1) AS i FROM fb),
+e AS (SELECT e.block_id AS block_id, arg_max(e.new_content, {{'s': seq, 'i': i}}) AS new_content FROM e0 WHERE e.block_id IS NOT NULL GROUP BY 1)
+SELECT b.block_id, coalesce(new_content, content) AS content, new_content IS NOT NULL AS was_edited FROM b LEFT JOIN e USING (block_id)""")
+def apply_edits(spark: SparkSession, d: str) -> DataFrame:
+    e = _feedback(spark, d).select("seq", F.posexplode("edited_blocks").alias("i", "e")).select("e.block_id", "e.new_content", F.struct("seq", "i").alias("pos"))
+    return review.edited(_blocks(spark, d).select("block_id", "content"), e).select("block_id", "content", "was_edited")
+
+
+@query(f"""WITH {FEEDBACK}, tk AS (SELECT task_id, 'review' AS status, true AS needs_review FROM (SELECT DISTINCT left(metadata.source_file, 12) AS task_id FROM chunks WHERE metadata.source_file IS NOT NULL)),
+a AS (SELECT task_id, arg_max(action, seq) AS action FROM fb WHERE action = 'approve' OR (action = 'reject' AND length(trim(reason)) > 0) GROUP BY task_id)
+SELECT task_id, CASE action WHEN 'approve' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE status END AS status, needs_review AND action IS NULL AS needs_review FROM tk LEFT JOIN a USING (task_id)""")
+def review_transitions(spark: SparkSession, d: str) -> DataFrame:
+    tasks = table(spark, d, "chunks", "metadata.source_file").where("source_file is not null").select(F.left("source_file", F.lit(12)).alias("task_id")).distinct().select("task_id", F.lit("review").alias("status"), F.lit(True).alias("needs_review"))
+    return review.transitions(tasks, _feedback(spark, d).select("task_id", "action", "reason", "seq"))
+
+
+@query(f"WITH {FEEDBACK} SELECT count(*) AS total_actions, CAST(count_if(action = 'approve') AS BIGINT) AS approved, CAST(count_if(action = 'reject') AS BIGINT) AS rejected, CAST(count_if(len(edited_blocks) > 0) AS BIGINT) AS with_edits, round(count_if(action = 'approve') / count(*), 3) AS approval_rate, round(count_if(len(edited_blocks) > 0) / count(*), 3) AS edit_rate FROM fb")
+def feedback_totals(spark: SparkSession, d: str) -> DataFrame:
+    return review.feedback_totals(_feedback(spark, d))
+
+
+@query(f"WITH {FEEDBACK} SELECT coalesce(e.block_type, 'unknown') AS block_type, count(*) AS edits FROM (SELECT unnest(edited_blocks) AS e FROM fb) GROUP BY 1 ORDER BY edits DESC, block_type LIMIT 10")
+def feedback_block_types(spark: SparkSession, d: str) -> DataFrame:
+    return review.feedback_block_types(_feedback(spark, d))
+
+
+@query(f"WITH {FEEDBACK} SELECT coalesce(filename, 'unknown') AS filename, count(*) AS actions, CAST(count_if(len(edited_blocks) > 0) AS BIGINT) AS edits, round(avg(CASE WHEN action = 'approve' THEN 1.0 ELSE 0.0 END), 6) AS approve_rate FROM fb GROUP BY 1")
+def feedback_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return review.feedback_by_file(_feedback(spark, d))
+
+
+@query(f"WITH {FEEDBACK} SELECT seq, task_id, action FROM fb ORDER BY seq DESC, task_id LIMIT 10")
+def feedback_recent(spark: SparkSession, d: str) -> DataFrame:
+    return review.recent_feedback(_feedback(spark, d)).select("seq", "task_id", "action")
+
+
+# events
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.tumbling(table(spark, d, "events"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS s FROM events),
+r AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM r GROUP BY user_id, run""")
+def events_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.sessions(table(spark, d, "events"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_status(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.latest_status(table(spark, d, "events", "user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").withColumnRenamed("event_type", "status")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
