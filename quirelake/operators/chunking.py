@@ -73,7 +73,11 @@ def raw_chunks(blocks: DataFrame, limit: int = 2500, overlap: int = 128) -> Data
     page, line = W.partitionBy("doc_id", "page_num"), W.partitionBy("doc_id", "page_num").orderBy("block_idx", "sub")
     u = units(blocks)
     before = F.lag("kind").over(line)
-    starts = F.col("kind").isin("heading", "short", "alone") | (before == "alone") | (question(F.col("text")) & (before != "short"))
+    blank = (before == "heading") & (F.lag("text").over(line) == "")  # nothing is held yet that a question could end
+    earlier = F.lag("kind", 2).over(line)
+    fresh = earlier.isNull() | (earlier == "alone") | ((earlier == "heading") & (F.lag("text", 2).over(line) == ""))
+    lone = (before == "short") | ((before == "text") & F.lag("text").over(line).isin(*SHORT_HEADINGS) & fresh)  # a short heading is all that is held
+    starts = F.col("kind").isin("heading", "short", "alone") | (before == "alone") | (question(F.col("text")) & ~lone & ~blank)
     u = u.withColumn("grp", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(line))
     name = F.when(F.col("kind") == "short", F.col("text")).when(F.col("kind") == "heading", F.substring("raw", 1, 60))
     u = u.withColumn("name", name).withColumn("own_section", F.last("name", ignorenulls=True).over(line)).withColumn("path", F.collect_list("name").over(line))

@@ -38,12 +38,12 @@ def pdf_blocks(pages: DataFrame) -> DataFrame:
     rows = pages.select("doc_id", "page_num", F.posexplode("blocks").alias("block_idx", "b")).withColumn("spans", F.coalesce(spans, F.array()))
     text = strip(F.array_join(F.transform("spans", lambda s: F.coalesce(s["text"], F.lit(""))), ""))
     image = F.col("b.type") == 1
-    box = F.struct(*[F.col("b.bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    box = F.struct(*[F.get("b.bbox", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
     out = rows.withColumn("content", F.when(image, "").otherwise(text)).where(image | (F.col("content") != ""))
     return out.select(
         "doc_id", "page_num", "block_idx", F.concat(F.lit("blk_"), F.substring(F.sha2(F.concat_ws(":", "doc_id", "page_num", "block_idx"), 256), 1, 12)).alias("block_id"), "content",
         F.when(image, "image").otherwise("text").alias("block_type"), box.alias("bbox"), F.col("block_idx").alias("reading_order"), F.array_max(F.transform("spans", lambda s: s["size"])).alias("max_font_size"),
-        F.col("spans")[0]["font"].alias("font"), formula_flag(F.col("content")).alias("has_formula"),
+        F.get("spans", F.lit(0))["font"].alias("font"), formula_flag(F.col("content")).alias("has_formula"),
     )
 
 
