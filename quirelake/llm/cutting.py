@@ -14,6 +14,7 @@ PENALTIES = (0.0, 0.5, 1.0, 3.0, 5.0, 12.0)
 _BOUNDARY = regex.compile(
     r"(?P<p0>\n[^\S\n]*\n\s*)|(?P<p1>\n)|(?P<p2>[.!?…。！？．｡।]+[\p{Pe}\p{Pf}\p{Pi}\"']*(?:\s+|(?<=[。！？｡]\p{P}*)))|(?P<p3>[,;:，；：、]\s*)|(?P<p4>\s+)",
 )
+TORN = 100.0
 _MARK = regex.compile(r"[\p{M}‍]")
 #: Weight of a piece as such and of its distance from the even size.
 PIECE, IMBALANCE = 4.0, 8.0
@@ -35,11 +36,12 @@ def _candidates(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
             while p - more[-1] > step:
                 q = more[-1] + step
                 while q > more[-1] + 1 and _MARK.match(text[q]):
-                    q -= 1  # never between a letter and its marks, unless nothing else is left
-                if _MARK.match(text[q]):
+                    q -= 1
+                torn = bool(_MARK.match(text[q]))  # a letter from its marks: only where nothing else is left
+                if torn:
                     q = more[-1] + step
                 more.append(q)
-                price.append(PENALTIES[-1])
+                price.append(PENALTIES[-1] + TORN * torn)
             more.append(p)
             price.append(c)
         at, cost = more, price

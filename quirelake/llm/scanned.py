@@ -407,11 +407,17 @@ def furniture_lines(df: DataFrame) -> DataFrame:
     return judged.where("good").select("block_id", "line_no").distinct()
 
 
+def distinct_blocks(blocks: DataFrame) -> DataFrame:
+    """The rows with a block_id and content, each once."""
+    rows = blocks.where("block_id is not null and content is not null")
+    return rows.select("doc_id", "page_num", "block_idx", "block_id", "block_type", "content", "metadata").dropDuplicates(["block_id", "content"])
+
+
 def paged_blocks(blocks: DataFrame) -> DataFrame:
     """The distinct blocks of documents that have pages (PDF and scans): those without any block that carries a paragraph style or comes from a text box."""
     styled = blocks.where("metadata.style is not null or metadata.source = 'textbox'").select("doc_id").distinct()
-    rows = blocks.where("block_id is not null and content is not null").select("doc_id", "page_num", "block_idx", "block_id", "block_type", "content", F.coalesce(F.col("metadata.source"), F.lit("")).alias("source"))
-    return rows.join(styled, "doc_id", "left_anti").dropDuplicates(["block_id", "content"]).withColumn("single", F.instr("content", "\n") == 0)
+    rows = blocks.select("doc_id", "page_num", "block_idx", "block_id", "block_type", "content", F.coalesce(F.col("metadata.source"), F.lit("")).alias("source"))
+    return rows.join(styled, "doc_id", "left_anti").withColumn("single", F.instr("content", "\n") == 0)
 
 
 def fitted_editor(blocks: DataFrame, sample: int = SAMPLE) -> Editor:
@@ -432,6 +438,7 @@ def noise(blocks: DataFrame) -> DataFrame:
     ``blocks`` has the columns of the table of that name; rows with a null block_id or content are
     left out, repeated rows count once. A line that is furniture has no other noise.
     """
+    blocks = keep(distinct_blocks(blocks))
     paged = keep(paged_blocks(blocks))
     shared = _shared_editor(blocks)
 
@@ -458,6 +465,7 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     paragraph are joined (by a space, or by nothing between scripts without spaces); a blank line
     or the end of a block ends a paragraph. Lines with a table's bars or a heading stay lines.
     """
+    blocks = keep(distinct_blocks(blocks))
     paged = keep(paged_blocks(blocks))
     shared = _shared_editor(blocks)
     gone = furniture_lines(paged).groupBy("block_id").agg(F.collect_set("line_no").alias("gone"))
