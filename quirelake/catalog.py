@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunking, confidence, index, layout, retrieval, review
+from .operators import chunking, confidence, index, layout, retrieval, review, scorers
 from .operators import tables as tab
 from .sources import documents as src
+from .sources import stores
 from .sources.tables import table
 from .streaming import ingest
 
@@ -463,6 +464,45 @@ def image_scale(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part", "p_partkey", "p_size").where("p_size > 0").select("p_partkey", layout.image_scale(F.col("p_size") * 20).alias("scale"))
 
 
+@query(f"""WITH {BLOCKS}, r AS (SELECT doc_id || '/' || page_num AS doc_id, CASE block_type WHEN 'title' THEN 'title' WHEN 'table' THEN 'table' ELSE 'text' END AS category, bbox FROM b WHERE bbox IS NOT NULL AND block_idx % 7 <> 3),
+o AS (SELECT doc_id, category, bbox, row_number() OVER (PARTITION BY doc_id ORDER BY bbox.y0 / 2, bbox.x0 / 2, category) - 1 AS reading_order FROM r)
+SELECT doc_id, category, count(*) AS n, round(sum(bbox.x1 / 2), 4) AS x1, CAST(sum(reading_order) AS BIGINT) AS orders FROM o GROUP BY ALL""")
+def model_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Raw boxes as a layout model gives them, here made from the blocks' own: each seventh has a class below 0."""
+    b = _blocks(spark, d).where("bbox is not null")
+    label = F.when(F.col("block_type") == "title", "doc_title").when(F.col("block_type") == "table", "table")
+    cls = F.when(F.col("block_idx") % 7 == 3, -1).otherwise(1)
+    raw = b.select(F.concat_ws("/", "doc_id", "page_num").alias("doc_id"), "page_num", cls.alias("cls_id"), label.alias("label"), F.lit(None).cast("double").alias("score"), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1").alias("coordinate"))
+    out = scorers.parsed_boxes(raw, 2.0)
+    return out.groupBy("doc_id", "category").agg(F.count("*").alias("n"), F.round(F.sum("bbox.x1"), 4).alias("x1"), F.sum("reading_order").alias("orders"))
+
+
+@query(f"""WITH {BLOCKS}, im AS (SELECT doc_id, page_num, block_id AS image_id, bbox AS r FROM b WHERE block_type = 'figure'),
+el AS (SELECT doc_id, page_num, block_idx, block_type, bbox FROM b WHERE block_type IN ('table', 'formula', 'figure') AND bbox IS NOT NULL),
+ht AS (SELECT image_id, arg_min(block_type, {{'i': block_idx, 'k': block_type}}) AS kind FROM im JOIN el USING (doc_id, page_num) WHERE r IS NOT NULL AND NOT (r.x1 < bbox.x0 OR bbox.x1 < r.x0 OR r.y1 < bbox.y0 OR bbox.y1 < r.y0) GROUP BY image_id)
+SELECT image_id, coalesce(kind, 'figure') AS category FROM im LEFT JOIN ht USING (image_id)""")
+def image_route(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d)
+    images = b.where("block_type = 'figure'").select("doc_id", "page_num", F.col("block_id").alias("image_id"), F.col("block_type").alias("category"), "bbox")
+    elements = b.select("doc_id", "page_num", F.col("block_idx").alias("element_idx"), F.col("block_type").alias("category"), "bbox")
+    return scorers.routed_images(images, elements).select("image_id", "category")
+
+
+@query(f"SELECT DISTINCT doc_id, page_num FROM pages WHERE length({STRIP % "coalesce(text, '')"}) = 0")
+def pages_to_recognise(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages", "doc_id", "page_num", "text")
+    return p.where(F.length(T.strip(F.coalesce("text", F.lit("")))) == 0).select("doc_id", "page_num").distinct()
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1 FROM b WHERE bbox IS NOT NULL")
+def recognised_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes around corner points, here the corners of the blocks' own."""
+    b = _blocks(spark, d).where("bbox is not null")
+    p = lambda x, y: F.array(F.col(f"bbox.{x}"), F.col(f"bbox.{y}"))
+    out = b.select("block_id", scorers.recognised_box(F.array(p("x1", "y0"), p("x1", "y1"), p("x0", "y1"), p("x0", "y0"))).alias("r"))
+    return out.select("block_id", "r.x0", "r.y0", "r.x1", "r.y1")
+
+
 # tables
 
 _ROWS = f"""ln AS (SELECT block_id AS id, list_filter(list_transform(string_split(content, chr(10)), lambda s: {STRIP % "s"}), lambda s: contains(s, '|')) AS lines FROM b WHERE content IS NOT NULL),
@@ -645,6 +685,37 @@ def feedback_recent(spark: SparkSession, d: str) -> DataFrame:
     return review.recent_feedback(_feedback(spark, d)).select("seq", "task_id", "action")
 
 
+@query(f"WITH {BLOCKS} SELECT doc_id, page_num, count(*) AS blocks, string_agg(block_id, ',' ORDER BY block_idx, block_id) AS block_ids FROM b GROUP BY ALL")
+def parse_response(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's nested blocks, in short: how many and which."""
+    p = stores.page_documents(_blocks(spark, d))
+    return p.select("doc_id", "page_num", F.size("blocks").cast("bigint").alias("blocks"), F.array_join(F.col("blocks.block_id"), ",").alias("block_ids"))
+
+
+@query("SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'cached ' || item_id ELSE text END AS search FROM eval_items")
+def query_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """Rewritings from the cache where there are any, here for every third item."""
+    q = _items(spark, d)
+    cache = q.where("query_id % 3 = 0").select("query", F.concat(F.lit("cached "), F.col("query_id").cast("string")).alias("rewriting"))
+    return scorers.rewritten(q, cache)
+
+
+@query("SELECT item_id AS query_id, 'Context:' || chr(10) || lang || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' AS prompt FROM eval_items")
+def prompt_render(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "eval_items", "item_id", "lang", "text")
+    return q.select(F.col("item_id").alias("query_id"), scorers.prompt("qa", context=F.col("lang"), query=F.col("text")).alias("prompt"))
+
+
+@query("SELECT DISTINCT sha256(text)[1:16] AS key FROM eval_items WHERE item_id % 2 = 0")
+def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Live entries of the answer cache: those of even items; the others expired an hour ago."""
+    q = table(spark, d, "eval_items", "item_id", "text")
+    now = F.current_timestamp()
+    live = stores.cache_entries(q.where("item_id % 2 = 0"), "answer", T.content_key(F.col("text")), F.col("item_id"))
+    old = stores.cache_entries(q.where("item_id % 2 = 1"), "answer", T.content_key(F.col("text")), F.col("item_id"), now - F.expr("interval 2 hours"))
+    return stores.cached(live.unionByName(old), "answer").select("key")
+
+
 # events
 
 

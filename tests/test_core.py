@@ -283,3 +283,38 @@ def test_stream_equals_batch(spark, data, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("term", "id", "tf")
     want = index.keyword_index(docs.dropDuplicates(["doc_id"]), "doc_id", "text").postings
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_scorer_chains(spark):
+    from quirelake.operators import scorers
+
+    df = spark.createDataFrame([("formula", "a"), ("table", "b"), ("other", "c"), ("table", "d")], "category string, image string")
+    only = lambda x, y: lambda c: F.when(c == x, y)
+    refuse = lambda c: F.lit("NOT_FORMULA")
+    got = scorers.recognised_images(df, scorers.first_of(only("a", "$$x$$"), refuse), only("b", "| t |"), only("d", "text"))
+    assert rows(got, "image", "text") == [("a", "$$x$$"), ("b", "| t |"), ("c", scorers.UNREADABLE), ("d", "text")]
+    df = spark.createDataFrame([("see [IMG_1] and [IMG_1]", 1, "X"), ("none", 1, "X")], "c string, n int, t string")
+    assert [r.v for r in df.select(scorers.placeholder_filled(F.col("c"), F.col("n"), F.col("t")).alias("v")).collect()] == ["see X and [IMG_1]", "none"]
+    b = spark.createDataFrame([("d", 1, 4, "text", "text")], "doc_id string, page_num int, block_idx int, content string, block_type string")
+    f = spark.createDataFrame([("d", 1, 1, "long enough text"), ("d", 1, 2, "short"), ("d", 1, 3, "another long text")], "doc_id string, page_num int, figure_idx int, text string")
+    assert [r.block_idx for r in scorers.described_figures(b, f).orderBy("block_idx").collect()] == [4, 5, 6]
+    with pytest.raises(ValueError):
+        scorers.prompt("nope")
+
+
+def test_stores(spark, tmp_path):
+    from quirelake.sources import stores
+
+    t = spark.createDataFrame([("t1", 1, "f", "queued", None, 0, 0, 3, True, 0.5)], stores.TASK)
+    stores.save_tasks(t, str(tmp_path / "t"))
+    assert stores.load_tasks(spark, str(tmp_path / "t")).exceptAll(t).count() == 0
+    e = spark.createDataFrame([(1, "x")], "seq int, action string")
+    stores.append_feedback(e, str(tmp_path / "f"))
+    stores.append_feedback(e, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 2
+    stores.save_index(spark.createDataFrame([("a", 1, 1), ("b", 1, 2)], "term string, id int, tf int"), str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i")).count() == 2
+    left = stores.deleted({"c": spark.createDataFrame([("x",), ("y",), (None,)], "source_file string")}, "x")["c"]
+    assert left.count() == 2
+    with pytest.raises(ValueError):
+        stores.cache_entries(e, "nope", F.col("seq"), F.col("action"))
