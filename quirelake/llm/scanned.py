@@ -35,7 +35,7 @@ from .arrow import map_batches
 from .lookalike import look_alikes, skeleton
 from .perceptron import Perceptron, slot
 
-SAMPLE, EDGES, EPOCHS = 1500, 12_000, 3
+SAMPLE, EDGES, EPOCHS = 2500, 12_000, 3
 #: How often a line typed as furniture is shown for one that isn't.
 TRUST = 3
 SLOTS = 1 << 21  # of the corpus counts
@@ -78,6 +78,12 @@ def counted(text: str, into: Counter) -> None:
             into[f"i{n}{m[0]}{where}"] += 1
 
 
+def triples(word: str) -> list[str]:
+    """The letter triples of a word with its ends marked."""
+    w = f"^{word}$"
+    return [w[i : i + 3] for i in range(len(w) - 2)]
+
+
 def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
     """The counts over all rows; their number of slots is fixed, whatever the corpus."""
 
@@ -85,6 +91,9 @@ def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
         own: Counter = Counter()
 
         def out() -> pa.RecordBatch:
+            for k, n in [(k, n) for k, n in own.items() if k[0] == "w"]:
+                for part in triples(k[1:]):
+                    own["3" + part] += n
             slots = np.fromiter((xxhash.xxh3_64_intdigest(k) & (SLOTS - 1) for k in own), np.int64, len(own))
             return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(own.values(), pa.int64())], names=["slot", "n"])
 
@@ -103,8 +112,8 @@ def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
     return counts
 
 
-def _level(n: int) -> int:
-    return 0 if n <= 0 else min(8, int(n).bit_length())
+def _level(n: int, most: int = 8) -> int:
+    return 0 if n <= 0 else min(most, int(n).bit_length())
 
 
 class Editor:
@@ -136,7 +145,12 @@ class Editor:
         around = "9" if rest.isdigit() else "a" if rest.isalpha() and not rest.isupper() else "A" if rest.isalpha() else "." if not rest else "x"
         swap = ("9" if read.isdigit() else "a") + ("9" if meant.isdigit() else "a")
         size = min(4, len(token))
-        out = [f"k{kind}", f"e{read}>{meant}", f"s{kind}{swap}{around}", f"c{swap}{side(left)}{side(right)}{around}", f"n{swap}{old_n},{new_n}", f"o{swap}{around}{old_n}", f"w{swap}{around}{new_n}", f"l{swap}{size},{min(2, new_n)}", f"g{swap}{max(-3, min(5, new_n - old_n))}{around}"]
+        # the rarest letter triple that the edit touches, before and after
+        low, then = token.lower(), new.lower()
+        old_3 = min(_level(self.count("3", part), 14) for part in triples(low)[max(0, i - 1) : i + len(read) + 1])
+        new_3 = min(_level(self.count("3", part), 14) for part in triples(then)[max(0, i - 1) : i + len(meant) + 1])
+        seen = f"{min(2, old_n)}{min(2, new_n)}"
+        out = [f"k{kind}", f"e{read}>{meant}", f"s{kind}{swap}{around}", f"c{swap}{side(left)}{side(right)}{around}", f"n{swap}{old_n},{new_n}", f"o{swap}{around}{old_n}", f"w{swap}{around}{new_n}", f"l{swap}{size},{min(2, new_n)}", f"g{swap}{max(-3, min(5, new_n - old_n))}{around}", f"3{swap}{seen}{max(-6, min(6, new_3 - old_3))}", f"r{swap}{seen}{old_3 // 2}", f"q{read}>{meant}{seen}{max(-3, min(3, (new_3 - old_3) // 2))}"]
         return [slot("t" + f) for f in out]
 
     def place_features(self, flat: str, i: int, meant: str) -> list[int]:
@@ -216,7 +230,7 @@ class Editor:
                     edits.append((m.start() if at is None else at[m.start()], m[0], meant))
         return edits, breaks
 
-    def fit(self, texts: list[str], epochs: int = EPOCHS, rate: float = 0.06, seed: int = 5) -> Editor:
+    def fit(self, texts: list[str], epochs: int = EPOCHS, rate: float = 0.02, seed: int = 5) -> Editor:
         """Trains on clean texts, misread and broken on purpose."""
         r = random.Random(seed)
         back: dict[str, list[str]] = {}
@@ -230,8 +244,10 @@ class Editor:
                 if w.isdigit() and len(w) < 2 or len(w) > 40:
                     continue
                 options = [(i, meant, read) for i in range(len(w)) for size in (1, 2) for meant in (w[i : i + size],) if len(meant) == size for read in back.get(meant, ())]
-                if options and r.random() < rate:
-                    i, meant, read = r.choice(options)
+                pick = r.choice(options) if options and r.random() < rate else None
+                # letters for letters in a word that the corpus has nowhere else can't be told from another word
+                if pick and (self.count("w", w.lower()) > 1 or (pick[1] + pick[2]).isalnum() and not (pick[1] + pick[2]).isalpha()):
+                    i, meant, read = pick
                     token = w[:i] + read + w[i + len(meant) :]
                     gold = (i, read, meant)
                 elif w.isdigit():

@@ -198,6 +198,37 @@ def test_same_file(spark):
     assert near_copies.same_file_pairs(df.limit(0), "source_file").count() == 0
 
 
+@pytest.mark.parametrize("crowded", [10**6, 0])
+def test_crowded_serial(spark, crowded):
+    r, titles = random.Random(3), set()
+    for _ in range(40):
+        t = "".join(r.choices("ghijkm", k=r.randint(1, 26)))
+        for _ in range(3):
+            u = list(t)
+            for _ in range(r.randint(0, 4)):
+                k = r.randrange(len(u))
+                kind = r.randrange(4)
+                if kind == 0:
+                    u[k : k + 2] = u[k : k + 2][::-1]
+                elif kind == 1:
+                    u[k] = r.choice("ghijkm")
+                elif kind == 2 and len(u) > 1:
+                    del u[k]
+                else:
+                    u.insert(k, r.choice("ghijkm"))
+            titles.add("".join(u))
+    names = [f"{t}_1234567.pdf" for t in sorted(titles)]
+    want = set()
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            x, y = a.split("_")[0], b.split("_")[0]
+            most = near_copies._forgiven(max(len(x), len(y)), 0.15)
+            if near_copies.slips(x, y, most) <= most:
+                want.add((min(a, b), max(a, b)))
+    got = pairs(near_copies.same_file_pairs(spark.createDataFrame([(n,) for n in names], "f string"), "f", crowded=crowded))
+    assert len(want) > 30 and got == want
+
+
 # 5
 
 
