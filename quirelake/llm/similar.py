@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import keep
 from .arrow import map_batches
 
-TABLES, PROBES, BUCKET = 8, 4, 8192
+TABLES, PROBES, BUCKET, TILE = 8, 4, 1024, 8192
 _BLOCK = 1024
 
 
@@ -135,7 +135,7 @@ def meet(asks: np.ndarray, ask_ids: np.ndarray, stored: np.ndarray, stored_ids:
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, k: int = 10, floor: float | None = None, *, dim: int | None = None, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, tile: int = BUCKET
+    df: DataFrame, key: str, vector: str, k: int = 10, floor: float | None = None, *, dim: int | None = None, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, tile: int = TILE
 ) -> DataFrame:
     """``id``, ``other``, ``similarity``, ``rank``: the ``k`` most similar other keys of every key, at least ``floor`` similar.
 
