@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import chunking, confidence, index, layout, retrieval, review, scorers
 from .operators import tables as tab
+from .session import on_its_own
 from .sources import documents as src
 from .sources import stores
 from .sources.tables import table
@@ -27,7 +28,7 @@ _sql: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        _queries[f.__name__] = f
+        _queries[f.__name__] = on_its_own(f)
         if sql:
             _sql[f.__name__] = sql
         return f
@@ -447,9 +448,9 @@ def region_text(spark: SparkSession, d: str) -> DataFrame:
     return layout.has_text(regions, b)
 
 
-@query(f"WITH {BLOCKS} SELECT block_id, round(least(0.95, 0.5 + length(content) / 2000.0), 6) AS page_confidence FROM b WHERE metadata.source = 'qwen_vl_page_recognizer' AND content IS NOT NULL")
+@query(f"WITH {BLOCKS} SELECT block_id, round(least(0.95, 0.5 + length(content) / 2000.0), 6) AS page_confidence FROM b WHERE metadata.source IS NOT NULL AND metadata.source <> 'textbox' AND content IS NOT NULL")
 def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
-    b = _blocks(spark, d).where("metadata.source = 'qwen_vl_page_recognizer' and content is not null")
+    b = _blocks(spark, d).where("metadata.source is not null and metadata.source <> 'textbox' and content is not null")
     return b.select("block_id", F.round(layout.page_confidence(F.col("content")), 6).alias("page_confidence"))
 
 

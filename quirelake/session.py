@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -45,7 +47,30 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def keep(df: DataFrame) -> DataFrame:
     """``df`` kept on the executors' disks for a second read; what is lost with an executor is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return _kept[-1]
+
+
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Frees what earlier queries kept. A result not read yet stays right: it computes again what it needs."""
+    while _kept:
+        df = _kept.pop()
+        if df.sparkSession.sparkContext._jsc is not None:
+            df.unpersist()
+
+
+def on_its_own(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query ``f``, after what earlier queries kept is freed."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, folder: str, *args) -> DataFrame:
+        release()
+        return f(spark, folder, *args)
+
+    return run
 
 
 _shipped: set[str] = set()
