@@ -14,32 +14,28 @@ def slot(feature: str) -> int:
 
 
 class Perceptron:
-    """``choose`` takes the feature slots of each candidate and gives the best one's number; an empty list scores 0 (keep)."""
+    """Chooses between keeping (0) and the candidates (1, 2, ...), each a row of feature slots; keeping scores 0."""
 
     def __init__(self, weights: np.ndarray | None = None):
         self.w = np.zeros(SLOTS) if weights is None else weights
         self._sum, self._seen = np.zeros(SLOTS), 0
 
-    def score(self, features: list[int]) -> float:
-        return float(self.w[features].sum()) if features else 0.0
+    def choose(self, candidates: np.ndarray | list[list[int]]) -> int:
+        if not len(candidates):
+            return 0
+        scores = self.w[np.asarray(candidates)].sum(1)
+        k = int(scores.argmax())
+        return k + 1 if scores[k] > 0 else 0
 
-    def choose(self, candidates: list[list[int]]) -> int:
-        best, at = self.score(candidates[0]), 0
-        for i in range(1, len(candidates)):
-            s = self.score(candidates[i])
-            if s > best:
-                best, at = s, i
-        return at
-
-    def learn(self, candidates: list[list[int]], gold: int) -> None:
+    def learn(self, candidates: np.ndarray | list[list[int]], gold: int) -> None:
         """One step: the gold candidate's features gain, the chosen one's lose; the average is kept lazily."""
         self._seen += 1
         got = self.choose(candidates)
         if got != gold:
             for at, by in ((gold, 1.0), (got, -1.0)):
-                for f in candidates[at]:
-                    self.w[f] += by
-                    self._sum[f] += by * self._seen
+                if at:
+                    np.add.at(self.w, candidates[at - 1], by)
+                    np.add.at(self._sum, candidates[at - 1], by * self._seen)
 
     def averaged(self) -> Perceptron:
         return Perceptron(self.w - self._sum / (self._seen + 1))

@@ -178,7 +178,7 @@ class Editor:
         if not token.isdigit() and not code and 1 < len(token) <= 40:
             edits = self.edits(token)
             if edits:
-                k = self.model.choose([[], *(self.token_features(token, *e) for e in edits)])
+                k = self.model.choose([self.token_features(token, *e) for e in edits])
                 got = edits[k - 1] if k else None
         if len(self.known) > 400_000:
             self.known.clear()
@@ -190,12 +190,12 @@ class Editor:
         key = flat[max(0, i - 2) : i + 3], min(i, 2)
         if key not in self.known:
             options = _SAME[flat[i]]
-            k = self.model.choose([[], *(self.place_features(flat, i, m) for m in options)])
+            k = self.model.choose([self.place_features(flat, i, m) for m in options])
             self.known[key] = options[k - 1] if k else None
         return self.known[key]
 
     def joins(self, left: str, hyphen: str, right: str) -> bool:
-        return bool(self.model.choose([[], self.join_features(left, hyphen, right)]))
+        return bool(self.model.choose([self.join_features(left, hyphen, right)]))
 
     def work(self, text: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, int, str]]]:
         """Edits (position, read, meant) of ``text``, and breaks (start, end, what replaces it) at which a word goes on."""
@@ -256,7 +256,7 @@ class Editor:
                     token, gold = w, None
                 edits = self.edits(token) if len(token) > 1 else []
                 if edits and (gold is None or gold in edits):
-                    steps.append(("t", token, edits, 1 + edits.index(gold) if gold else 0))
+                    steps.append(("t", token, 1 + edits.index(gold) if gold else 0))
                 if len(w) > 4 and w.isalpha() and r.random() < 0.1:
                     k = r.randint(2, len(w) - 2)
                     steps.append(("j", w[:k], r.choice(_HYPHENS), w[k:], 1))
@@ -271,20 +271,27 @@ class Editor:
                 if r.random() < 0.3:
                     meant, c = c, r.choice(_SAME[c])
                     here = flat[:i] + c + flat[i + 1 :]
-                    steps.append(("i", here[max(0, i - 3) : i + 4], min(i, 3), _SAME[c], 1 + _SAME[c].index(meant)))
+                    steps.append(("i", here[max(0, i - 3) : i + 4], min(i, 3), 1 + _SAME[c].index(meant)))
                 else:
-                    steps.append(("i", flat[max(0, i - 3) : i + 4], min(i, 3), _SAME[c], 0))
+                    steps.append(("i", flat[max(0, i - 3) : i + 4], min(i, 3), 0))
+        # in a misread text the word itself would stand once less in the corpus, and what was read once more
+        made: dict[tuple, np.ndarray] = {}
+        for n, step in enumerate(steps):
+            if step not in made:
+                kind, *what, gold = step
+                if kind == "t":
+                    rows = [self.token_features(what[0], *e, int(gold > 0), int(k == gold)) for k, e in enumerate(self.edits(what[0]), 1)]
+                elif kind == "j":
+                    rows = [self.join_features(*what, gold)]
+                else:
+                    rows = [self.place_features(*what, m) for m in _SAME[what[0][what[1]]]]
+                made[step] = np.array(rows, dtype=np.int32)
+            steps[n] = made[step], step[-1]
+        del made
         for _ in range(epochs):
             r.shuffle(steps)
-            for s in steps:
-                # in a misread text the word itself would stand once less in the corpus, and what was read once more
-                if s[0] == "t":
-                    changed = int(s[3] > 0)
-                    self.model.learn([[], *(self.token_features(s[1], *e, changed, int(n == s[3])) for n, e in enumerate(s[2], 1))], s[3])
-                elif s[0] == "j":
-                    self.model.learn([[], self.join_features(*s[1:4], s[4])], s[4])
-                else:
-                    self.model.learn([[], *(self.place_features(s[1], s[2], m) for m in s[3])], s[4])
+            for candidates, gold in steps:
+                self.model.learn(candidates, gold)
         self.model = self.model.averaged()
         self.known.clear()
         return self
@@ -404,7 +411,7 @@ def furniture_lines(df: DataFrame) -> DataFrame:
     labelled += [{**r, "top": 0, "bottom": 5, "next": None, "prev": None} for r in labelled if r["gold"] and len(r["key"] or "") <= 8 and r["bottom"] == 0]
     model = Perceptron()
     # much furniture is typed as text, hardly any text as furniture: what is typed as furniture counts more
-    steps = [([[], line_features(r)], int(r["gold"])) for r in labelled for _ in range(TRUST if r["gold"] else 1)]
+    steps = [(np.array([line_features(r)], dtype=np.int32), int(r["gold"])) for r in labelled for _ in range(TRUST if r["gold"] else 1)]
     r = random.Random(3)
     for _ in range(EPOCHS + 1):
         r.shuffle(steps)
@@ -416,7 +423,7 @@ def furniture_lines(df: DataFrame) -> DataFrame:
         own = Perceptron(weights)
         names = list(_COLUMNS)
         columns = [cols[n].to_pylist() for n in names]
-        good = [own.score(line_features(dict(zip(names, v, strict=True)))) > 0 for v in zip(*columns, strict=True)]
+        good = [own.choose([line_features(dict(zip(names, v, strict=True)))]) > 0 for v in zip(*columns, strict=True)]
         return {"block_id": cols["block_id"], "line_no": cols["line_no"], "good": good}
 
     judged = map_batches(rows.select("block_id", "line_no", *_COLUMNS), judge, "block_id string, line_no int, good boolean", setup=lambda: shared.value)

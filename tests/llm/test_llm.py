@@ -60,9 +60,9 @@ def test_perceptron_learns():
     r, p = random.Random(0), perceptron.Perceptron()
     for _ in range(300):
         x = r.randint(0, 9)
-        p.learn([[], [perceptron.slot(f"x{x}")]], int(x > 4))
+        p.learn([[perceptron.slot(f"x{x}")]], int(x > 4))
     p = p.averaged()
-    assert [p.choose([[], [perceptron.slot(f"x{x}")]]) for x in range(10)] == [int(x > 4) for x in range(10)]
+    assert [p.choose([[perceptron.slot(f"x{x}")]]) for x in range(10)] == [int(x > 4) for x in range(10)]
 
 
 @pytest.fixture(scope="module")
