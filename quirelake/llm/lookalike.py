@@ -29,7 +29,7 @@ from .arrow import map_batches
 
 _KEPT = "|ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _DASHES = "‒–−"
-_LINE = "\r\x0b\x0c\x85  "
+_LINE = "\r\x0b\x0c\x85\u2028\u2029"
 
 
 def _kind(c: str, prototype: str) -> str:
