@@ -65,17 +65,36 @@ def _around(text: str, i: int) -> tuple[str, str, str]:
     return f"{b}_{c}", f"{a}{b}_", f"_{c}{d}"
 
 
-def counted(text: str, into: Counter) -> None:
-    """What the editor's features need to know about ``text``, by slot."""
-    for w in _TOKEN.findall(text):
-        if not w.isdigit():
-            into["w" + w.lower()] += 1
-    for w in _HYPHENED.findall(text):
-        into["h" + w.lower().replace("‐", "-")] += 1
-    flat = text.replace("\n", "")
-    for m in _IDEOGRAPH.finditer(flat):
-        for n, where in enumerate(_around(flat, m.start())):
-            into[f"i{n}{m[0]}{where}"] += 1
+class _Counts:
+    """What the editor's features need to know about texts. Tokens and neighbourhoods are counted as they stand and taken apart once each."""
+
+    def __init__(self) -> None:
+        self.tokens, self.compounds, self.places = Counter(), Counter(), Counter()
+
+    def add(self, text: str) -> None:
+        self.tokens.update(_TOKEN.findall(text))
+        self.compounds.update(_HYPHENED.findall(text))
+        flat = "\0\0" + text.replace("\n", "") + "\0\0"
+        self.places.update([flat[m.start() - 2 : m.start() + 3] for m in _IDEOGRAPH.finditer(flat)])
+
+    def __len__(self) -> int:
+        return len(self.tokens) + len(self.compounds) + len(self.places)
+
+    def slots(self) -> Counter:
+        own: Counter = Counter()
+        for w, n in self.tokens.items():
+            if not w.isdigit():
+                w = w.lower()
+                own["w" + w] += n
+                for part in triples(w):
+                    own["3" + part] += n
+        for w, n in self.compounds.items():
+            own["h" + w.lower().replace("‐", "-")] += n
+        for p, n in self.places.items():
+            a, b, here, c, d = (x.strip("\0") for x in p)
+            for k, where in enumerate((f"{b}_{c}", f"{a}{b}_", f"_{c}{d}")):
+                own[f"i{k}{here}{where}"] += n
+        return own
 
 
 def triples(word: str) -> list[str]:
@@ -88,22 +107,20 @@ def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
     """The counts over all rows; their number of slots is fixed, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
+        own = _Counts()
 
         def out() -> pa.RecordBatch:
-            for k, n in [(k, n) for k, n in own.items() if k[0] == "w"]:
-                for part in triples(k[1:]):
-                    own["3" + part] += n
-            slots = np.fromiter((xxhash.xxh3_64_intdigest(k) & (SLOTS - 1) for k in own), np.int64, len(own))
-            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(own.values(), pa.int64())], names=["slot", "n"])
+            made = own.slots()
+            slots = np.fromiter((xxhash.xxh3_64_intdigest(k) & (SLOTS - 1) for k in made), np.int64, len(made))
+            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(made.values(), pa.int64())], names=["slot", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                counted(t, own)
-            if len(own) > 300_000:
+                own.add(t)
+            if len(own) > 400_000:
                 yield out()
-                own.clear()
-        if own:
+                own = _Counts()
+        if len(own):
             yield out()
 
     found = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
