@@ -15,5 +15,5 @@ class Limit(NamedTuple):
 
 
 def limits(spark: SparkSession, folder: str) -> dict[str, Limit]:
-    rows = table(spark, folder, "size_limits", "field", "max_size", "overlap").dropna().limit(1000).collect()
+    rows = table(spark, folder, "size_limits", "field", "max_size", "overlap").dropna().collect()
     return {r.field: Limit(r.max_size, r.overlap) for r in rows}
