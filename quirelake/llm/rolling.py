@@ -64,3 +64,13 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     view = np.lib.stride_tricks.sliding_window_view(hashes, width)
     at = width - 1 - view[:, ::-1].argmin(1) + np.arange(n - width + 1)
     return np.unique(at)
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` consecutive values, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values

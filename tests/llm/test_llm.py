@@ -381,6 +381,20 @@ def test_shared_ranges(spark, seed):
     assert got == _brute_ranges(docs, 200)
 
 
+def test_signature_runs():
+    """The runs cover every paragraph of each text once, and equal paragraphs have equal keys."""
+    r = random.Random(4)
+    stock = "".join(r.choices("abcdef", k=260))
+    texts = ["".join(r.choices("abcdef", k=n)) + stock[: r.choice([0, 220, 260])] for n in (0, 3, 199, 200, 700)] + [stock, "x" * 210]
+    doc, key, lo, hi, whole = shared_spans.signature_runs(texts, 200, rolling.Windows())
+    keys = {(d, p): k for d, k, a, b in zip(doc, key, lo, hi, strict=True) for p in range(a, b + 1)}
+    assert sorted(keys) == [(d, p) for d, t in enumerate(texts) for p in range(len(t) - 199)]
+    by: dict[str, set] = {}
+    for (d, p), k in keys.items():
+        by.setdefault(texts[d][p : p + 200], set()).add(k)
+    assert all(len(v) == 1 for v in by.values()) and len(set(map(tuple, by.values()))) > len(by) // 60
+
+
 def test_shared_share_and_clusters(spark):
     r = random.Random(9)
     s = "".join(r.choices("abcdefg", k=300))
