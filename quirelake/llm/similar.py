@@ -5,8 +5,9 @@ Walsh-Hadamard transform) and assigned to the nearest signed axis: 2d buckets a
 is stored in its own bucket of every table and asks the ``probes`` nearest buckets. Buckets are
 searched exactly, as matrix products in blocks, and both sides keep what they meet: the one that
 asks and the one that is stored. A second, shorter hash splits the buckets when they would exceed
-``bucket`` vectors on average; a bucket that is still larger is searched in tiles, all against all
-tiles, so no task ever holds more than two tiles and nothing is capped.
+``bucket`` vectors on average; as smaller buckets part far neighbours, more tables are made and more
+buckets asked then. A bucket in which more vectors are stored or ask than a tile holds is searched in
+tiles, stored against asking ones, so no group holds more than about two tiles and nothing is capped.
 
 Exact copies of a vector are searched once and expanded at the end.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import keep
 from .arrow import map_batches
 
-TABLES, PROBES, BUCKET, TILE = 8, 4, 1024, 8192
+TABLES, PROBES, BUCKET, TILE = 8, 5, 1024, 8192
 _BLOCK = 1024
 
 
@@ -57,10 +58,10 @@ class Hash:
         if x.shape[1] < self.dim:
             x = np.pad(x, ((0, 0), (0, self.dim - x.shape[1])))
         y = self._turn(x, 0)
-        near, cost = _nearest(y, min(probes, 2 * self.dim))
+        near, cost = _nearest(y, min(probes, self.dim))
         if self.short:
             z = self._turn(x, 1)[:, self.some]
-            near2, cost2 = _nearest(z, min(probes, 2 * self.short))
+            near2, cost2 = _nearest(z, min(probes, self.short))
             total = (cost[:, :, None] + cost2[:, None, :]).reshape(len(x), -1)
             both = (near[:, :, None] * (2 * self.short) + near2[:, None, :]).reshape(len(x), -1)
             order = np.argsort(total, 1, kind="stable")[:, :probes]
@@ -69,11 +70,14 @@ class Hash:
 
 
 def _nearest(y: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signed axes nearest to each row, and how much farther than the nearest they are."""
-    signed = np.concatenate([y, -y], 1)
-    order = np.argsort(-signed, 1, kind="stable")[:, :probes]
-    value = np.take_along_axis(signed, order, 1)
-    return order, (value[:, :1] - value) ** 2
+    """Signed axes nearest to each row, and how much farther than the nearest they are; of an axis only its nearer side."""
+    size = np.abs(y)
+    order = np.argpartition(-size, probes - 1, 1)[:, :probes] if probes < y.shape[1] else np.broadcast_to(np.arange(y.shape[1]), y.shape)
+    value = np.take_along_axis(size, order, 1)
+    by = np.argsort(-value, 1, kind="stable")
+    order, value = np.take_along_axis(order, by, 1), np.take_along_axis(value, by, 1)
+    side = np.take_along_axis(y, order, 1) < 0
+    return order + side * y.shape[1], (value[:, :1] - value) ** 2
 
 
 def _units(df: DataFrame, key: str, vector: str, kind: str, dim: int) -> DataFrame:
@@ -134,6 +138,42 @@ def meet(asks: np.ndarray, ask_ids: np.ndarray, stored: np.ndarray, stored_ids:
     return ids, others, values
 
 
+def placed_tiles(classes: DataFrame, hashes: list[Hash], probes: int, dim: int, tile: int) -> DataFrame:
+    """``cell``, ``m``, ``q``, ``stored``, ``asks``, ``u``, ``unit``: the vectors ``classes(u, unit)`` in every group (cell, m, q) where they are stored or ask.
+
+    No group has more than about ``tile`` stored and ``tile`` asking rows, however crowded the cell.
+    """
+    tables = len(hashes)
+    cells = hashes[0].buckets
+
+    def load(cols: dict) -> dict:
+        x = _matrix(cols["unit"], dim)
+        near = [t * cells + h(x, probes) for t, h in enumerate(hashes)]
+        home, home_n = np.unique(np.concatenate([c[:, 0] for c in near]), return_counts=True)
+        asked, asked_n = np.unique(np.concatenate([c[:, 1:].ravel() for c in near]), return_counts=True)
+        none = np.zeros(len(home), dtype=np.int64), np.zeros(len(asked), dtype=np.int64)
+        return {"cell": np.concatenate([home, asked]).tolist(), "s": np.concatenate([home_n, none[1]]).tolist(), "a": np.concatenate([none[0], asked_n]).tolist()}
+
+    def spread(cols: dict) -> dict:
+        x = _matrix(cols["unit"], dim)
+        cell = np.concatenate([t * cells + h(x, probes) for t, h in enumerate(hashes)], 1)
+        asks = np.tile(np.arange(cell.shape[1]) % (cell.shape[1] // tables) > 0, len(x))  # the nearest bucket is the vector's own
+        at = pa.array(np.repeat(np.arange(len(x)), cell.shape[1]))
+        return {"cell": pa.array(cell.ravel()), "stored": pa.array(~asks), "u": cols["u"].take(at), "unit": cols["unit"].take(at)}
+
+    # a bucket with more stored or asking vectors than a tile holds is cut both ways: tiles of stored ones against tiles of asking ones
+    loads = map_batches(classes.select("unit"), load, "cell bigint, s bigint, a bigint").groupBy("cell").agg(F.sum("s").alias("s"), F.sum("a").alias("a"))
+    hot = loads.where((F.col("s") > tile) | (F.col("a") > tile)).select("cell", F.greatest(F.lit(1), F.ceil(F.col("s") / tile)).alias("ms"), F.ceil((F.col("s") + F.col("a")) / tile).alias("qs"))
+    placed = map_batches(classes, spread, "cell bigint, stored boolean, u bigint, unit binary")
+    tiled = placed.join(hot, "cell", "left")
+    lone = F.col("ms").isNull()  # then the stored vectors ask where they lie; else they are sent to every tile for it
+    ms, qs = F.coalesce("ms", F.lit(1)), F.coalesce("qs", F.lit(1))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    stored = tiled.where("stored").select("cell", F.pmod("u", ms).alias("m"), all_of(qs).alias("q"), F.lit(True).alias("stored"), lone.alias("asks"), "u", "unit")
+    asking = tiled.where(~F.col("stored") | ~lone).select("cell", all_of(ms).alias("m"), F.pmod("u", qs).alias("q"), F.lit(False).alias("stored"), F.lit(True).alias("asks"), "u", "unit")
+    return stored.unionByName(asking)
+
+
 def most_similar(
     df: DataFrame, key: str, vector: str, k: int = 10, floor: float | None = None, *, dim: int | None = None, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, tile: int = TILE
 ) -> DataFrame:
@@ -157,29 +197,11 @@ def most_similar(
     short, length = 0, 1 << (dim - 1).bit_length()
     while n > bucket * 2 * length * max(1, 2 * short) and short < length:
         short = max(1, 2 * short)
-    probes += probes * short // 2  # smaller buckets, more of them asked: the recall holds
+    if floor is None:  # far neighbours are parted by smaller buckets: more tables, and more buckets asked
+        level = short.bit_length()
+        tables, probes = tables + tables // 2 * (level // 2), probes * (1 + level)
     hashes = [Hash(dim, t, short) for t in range(tables)]
-    cells = hashes[0].buckets
-
-    def homes(cols: dict) -> dict:
-        x = _matrix(cols["unit"], dim)
-        return {"cell": np.concatenate([t * cells + h(x, 1)[:, 0] for t, h in enumerate(hashes)]).tolist()}
-
-    def spread(cols: dict) -> dict:
-        x = _matrix(cols["unit"], dim)
-        cell = np.concatenate([t * cells + h(x, probes) for t, h in enumerate(hashes)], 1)
-        asks = np.tile(np.arange(cell.shape[1]) % (cell.shape[1] // tables) > 0, len(x))  # the nearest bucket is the vector's own
-        at = pa.array(np.repeat(np.arange(len(x)), cell.shape[1]))
-        return {"cell": pa.array(cell.ravel()), "stored": pa.array(~asks), "u": cols["u"].take(at), "unit": cols["unit"].take(at)}
-
-    hot = map_batches(classes.select("unit"), homes, "cell bigint").groupBy("cell").count().where(F.col("count") > tile)
-    placed = map_batches(classes, spread, "cell bigint, stored boolean, u bigint, unit binary")
-    own = F.pmod(F.col("u"), F.col("tiles"))
-    lone = F.col("tiles") == 1  # then the stored vectors ask where they lie; else they are sent to every tile for it
-    tiled = placed.join(hot.select("cell", F.ceil(F.col("count") / tile).alias("tiles")), "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)
-    stored = tiled.where("stored").select("cell", own.alias("m"), F.explode(every).alias("q"), F.lit(True).alias("stored"), lone.alias("asks"), "u", "unit")
-    asking = tiled.where(~F.col("stored") | ~lone).select("cell", F.explode(every).alias("m"), own.alias("q"), F.lit(False).alias("stored"), F.lit(True).alias("asks"), "u", "unit")
+    tiles = placed_tiles(classes, hashes, probes, dim, tile)
 
     def search(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -189,7 +211,7 @@ def most_similar(
         cat = lambda v, kind: np.concatenate(v) if v else np.zeros(0, dtype=kind)
         return pa.table({"u": cat(ids, np.int64), "o": cat(others, np.int64), "s": cat(values, np.float32)})
 
-    met = stored.unionByName(asking).groupBy("cell", "m", "q").applyInArrow(search, "u bigint, o bigint, s float")
+    met = tiles.groupBy("cell", "m", "q").applyInArrow(search, "u bigint, o bigint, s float")
     # the same pair may be met in several tables: one row each, before the ranking
     pairs = met.groupBy("u", "o").agg(F.max("s").alias("s"))
     ranked = pairs.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "o"))).where(F.col("r") <= k).select("u", "o", "s")

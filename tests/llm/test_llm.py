@@ -136,6 +136,28 @@ def test_similar_against_brute_force(spark, tile):
     assert len(got & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("short", [1, 2, 4, 8])
+def test_recall_where_buckets_are_split(spark, data, short):
+    df = spark.read.parquet(f"{data}/sf0.01/vectors.parquet").select("chunk_id", "embedding")
+    rows = {r.chunk_id: np.array(r.embedding) for r in df.collect() if r.embedding and len(r.embedding) == 64 and any(r.embedding)}
+    ids, x = sorted(rows), np.stack([rows[k] for k in sorted(rows)])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = (u @ u.T).round(6)
+    np.fill_diagonal(s, -2)
+    tenth = -np.sort(-s, 1)[:, 9]
+    got = Counter(r.id for r in similar.most_similar(df, "chunk_id", "embedding", bucket=len(np.unique(u.round(7), axis=0)) / (192 * short)).collect() if r.similarity >= tenth[ids.index(r.id)] - 1e-5)
+    assert sum(got.values()) / (10 * len(ids)) >= 0.9
+
+
+def test_no_tile_is_crowded(spark):
+    """A dense group: its vectors share their bucket, and nearly all ask the same second one."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.standard_normal((1, 64)) + 0.05 * r.standard_normal((3000, 64)), r.standard_normal((300, 64))])
+    units = similar._units(_vectors(spark, x), "id", "v", "string", 64).select(F.xxhash64("unit").alias("u"), "unit")
+    sizes = similar.placed_tiles(units, [similar.Hash(64, t, 0) for t in range(2)], 4, 64, 200).groupBy("cell", "m", "q").agg(F.count_if("stored").alias("s"), F.count_if("asks").alias("a")).agg(F.max("s"), F.max("a")).first()
+    assert max(sizes) < 300
+
+
 def test_similar_edges(spark):
     one = [1.0] + [0.0] * 7
     extra = [("z", [0.0] * 8), ("n", None), ("short", [1.0]), (None, one), ("e", []), ("nan", [float("nan")] + [0.0] * 7)] + [(f"c{i:02d}", one) for i in range(15)] + [("c00", one)] + [("near", [2.0, 0.2] + [0.0] * 6)]
