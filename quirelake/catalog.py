@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import chunking, confidence, index, layout, retrieval, review, scorers
 from .operators import tables as tab
-from .session import on_its_own
+from .session import keep, on_its_own, once
 from .sources import documents as src
 from .sources import stores
 from .sources.tables import table
@@ -86,13 +86,14 @@ i AS (SELECT term, df, greatest(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT av
 
 @query(f"WITH {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    p = index.keyword_index(_docs(spark, d), "doc_id", "text").postings
+    p = index.keyword_postings(_docs(spark, d), "doc_id", "text")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM i")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    return index.keyword_index(_docs(spark, d), "doc_id", "text").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    docs = _docs(spark, d)
+    return index.weighed(index.keyword_postings(docs, "doc_id", "text"), docs.agg(F.count("text").alias("n"))).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _bm25_sql(allowed: str = "") -> str:
@@ -127,7 +128,7 @@ SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    return index.unit_vectors(table(spark, d, "vectors", "chunk_id", "embedding"), "chunk_id", "embedding")
+    return once(("units", d), lambda: index.unit_vectors(table(spark, d, "vectors", "chunk_id", "embedding"), "chunk_id", "embedding"))
 
 
 @query(_vector_sql())
@@ -143,15 +144,23 @@ def vector_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return index.vector_search(u.join(allowed, "id", "left_semi"), u.where(_asked("id")).withColumnRenamed("id", "query_id"))
 
 
+def _kept_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return once(("chunks", d), lambda: _chunks(spark, d))
+
+
 def _hybrid_queries(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
-    return _chunks(spark, d).where(_asked(every=every)).select(F.col("chunk_id").alias("query_id"), F.coalesce("metadata.section", F.lit("")).alias("query"))
+    rows = lambda: _kept_chunks(spark, d).where(_asked(every=every)).select(F.col("chunk_id").alias("query_id"), F.coalesce("metadata.section", F.lit("")).alias("query"))
+    return once(("queries", d, every), rows)
 
 
-def _hybrid(spark: SparkSession, d: str, k: int = 10, every: int = 100) -> DataFrame:
+def _rankings(spark: SparkSession, d: str, every: int) -> tuple[DataFrame, DataFrame]:
     queries, u = _hybrid_queries(spark, d, every), _units(spark, d)
-    words = index.keyword_search(index.keyword_index(_chunks(spark, d), "chunk_id", "content"), queries, 30)
-    near = index.vector_search(u, u.where(_asked("id", every)).withColumnRenamed("id", "query_id"), 30)
-    return index.fused(near, words, k)
+    words = index.keyword_search(index.keyword_index(_kept_chunks(spark, d), "chunk_id", "content"), queries, 30)
+    return index.vector_search(u, u.where(_asked("id", every)).withColumnRenamed("id", "query_id"), 30), words
+
+
+def _hybrid(spark: SparkSession, d: str, k: int = 10, every: int = 100) -> DataFrame:
+    return once(("hybrid", d, k, every), lambda: index.fused(*_rankings(spark, d, every), k))
 
 
 HYBRID = f"""{CHUNKS},
@@ -184,8 +193,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
     """The fused results with content and metadata."""
-    c = _chunks(spark, d).select(F.col("chunk_id").alias("id"), "content", "metadata")
-    return _hybrid(spark, d, every=every).select("query_id", "id", "score", "rank").join(c, "id")
+    c = _kept_chunks(spark, d).select(F.col("chunk_id").alias("id"), "content", "metadata")
+    return once(("candidates", d, every), lambda: _hybrid(spark, d, every=every).select("query_id", "id", "score", "rank").join(c, "id"))
 
 
 TERMS = f"""dw AS (SELECT h.query_id, unnest(regexp_split_to_array(c.content, '{SP}+')) AS term FROM h JOIN c ON c.chunk_id = h.id WHERE h.rank <= 5),
@@ -213,7 +222,7 @@ rr AS (SELECT query_id, id, score, content, metadata, row_number() OVER (PARTITI
 
 
 def _reranked(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
-    return retrieval.reranked(_candidates(spark, d, every).drop("score"), _hybrid_queries(spark, d, every))
+    return once(("reranked", d, every), lambda: retrieval.reranked(_candidates(spark, d, every).drop("score"), _hybrid_queries(spark, d, every)))
 
 
 @query(f"WITH {HYBRID}, {RERANK} SELECT query_id, id, score, rank FROM rr")
@@ -266,6 +275,12 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).where("metadata is not null").select("chunk_id", retrieval.citation().alias("citation"))
 
 
+@query(f"WITH {HYBRID}, {RERANK}, {PACK} SELECT pk0.query_id, pk0.rank AS idx, rr.metadata.source_file AS source_file, rr.metadata.page_num AS page_num, rr.metadata.section AS section, rr.metadata.chunk_type AS chunk_type, rr.content AS text FROM pk0 JOIN rr USING (query_id, rank) JOIN pk1 USING (query_id, rank) WHERE rr.metadata IS NOT NULL AND (pk1.used <= 3600 OR pk0.rank = 1)")
+def citation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A row per cited result, with the whole content."""
+    return retrieval.citation_rows(_packed(spark, d))
+
+
 CONF = "cf AS (SELECT query_id, round(0.6::DOUBLE * max(score) + 0.4::DOUBLE * least(count(*) / 10.0::DOUBLE, 1), 4) AS confidence FROM rr GROUP BY query_id)"
 
 
@@ -321,17 +336,34 @@ def index_payload(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", F.substring(F.coalesce("content", F.lit("")), 1, 1000).alias("payload"), F.coalesce("metadata.source_file", F.lit("")).alias("source_file"), F.coalesce("metadata.page_num", F.lit(0)).alias("page_num"), F.coalesce("metadata.chunk_type", F.lit("text")).alias("chunk_type"))
 
 
-@query(f"WITH {CHUNKS}, m AS (SELECT max(metadata.source_file) AS f FROM c) SELECT chunk_id, metadata.source_file AS source_file FROM c, m WHERE coalesce(metadata.source_file <> f, true)")
+@query(f"WITH {CHUNKS}, m AS (SELECT min(metadata.source_file) AS f FROM c) SELECT chunk_id, metadata.source_file AS source_file FROM c, m WHERE metadata.source_file IS NULL OR metadata.source_file <> f")
 def delete_by_source(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d).select("chunk_id", F.col("metadata.source_file").alias("source_file"))
-    return index.without_source(c, "source_file", c.agg(F.max("source_file")).first()[0])
+    """The chunks after those of one source, the first by name, are deleted."""
+    c = _kept_chunks(spark, d).select("chunk_id", F.col("metadata.source_file").alias("source_file"))
+    first = c.agg(F.min("source_file").alias("gone"))
+    return index.without_source(c.crossJoin(F.broadcast(first)), "source_file", F.col("gone")).select("chunk_id", "source_file")  # one row
 
 
-@query("SELECT chunk_id, any_value(source_file) AS source_file, CAST(max(len(embedding)) AS INTEGER) AS dim FROM vectors WHERE source_file IS NOT NULL AND embedding IS NOT NULL GROUP BY chunk_id")
+@query(f"WITH {CHUNKS}, m AS (SELECT min(metadata.source_file) AS f FROM c) SELECT CAST(count_if(metadata.source_file IS NOT NULL AND metadata.source_file = f) AS BIGINT) AS removed, CAST(count_if(metadata.source_file IS NULL OR metadata.source_file <> f) AS BIGINT) AS kept FROM c, m")
+def delete_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = _kept_chunks(spark, d).select(F.col("metadata.source_file").alias("source_file"))
+    first = c.agg(F.min("source_file").alias("gone"))
+    return index.removed_count(c.crossJoin(F.broadcast(first)), "source_file", F.col("gone"))  # one row
+
+
+@query("SELECT count(DISTINCT chunk_id) AS rows FROM vectors WHERE embedding IS NOT NULL AND chunk_id IS NOT NULL")
+def vector_count(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "vectors", "chunk_id", "embedding").where("embedding is not null and chunk_id is not null")
+    return index.collection_size(v.select("chunk_id").distinct())
+
+
+@query("SELECT chunk_id, CASE WHEN bool_or(source_file LIKE '%.pdf') THEN 'again/' || min(source_file) FILTER (WHERE source_file LIKE '%.pdf') ELSE min(source_file) END AS source_file FROM vectors WHERE source_file IS NOT NULL AND embedding IS NOT NULL GROUP BY chunk_id")
 def upsert_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The index after the vectors of PDF files are delivered a second time."""
-    v = table(spark, d, "vectors").where("source_file is not null and embedding is not null").select("chunk_id", "source_file", F.size("embedding").alias("dim")).distinct()
-    return index.upserted(v, v.where("source_file like '%.pdf'"), "chunk_id")
+    """The index after the vectors of PDF files are delivered once more from another folder: their rows are replaced, the others stay."""
+    v = table(spark, d, "vectors").where("source_file is not null and embedding is not null").groupBy("chunk_id")
+    held = keep(v.agg(F.min("source_file").alias("source_file"), F.min(F.when(F.col("source_file").like("%.pdf"), F.col("source_file"))).alias("pdf")))
+    new = held.where("pdf is not null").select("chunk_id", F.concat(F.lit("again/"), "pdf").alias("source_file"))
+    return index.upserted(held.select("chunk_id", "source_file"), new, "chunk_id")
 
 
 @query("SELECT DISTINCT sha256(text)[1:16] AS content_key, md5(source || '|' || lang)[1:12] AS source_key FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
@@ -369,25 +401,42 @@ def loaders(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", "filename", src.loader(F.col("filename")).alias("loader"))
 
 
-_STYLE = " ".join(f"WHEN metadata.style = '{k}' THEN '{v}'" for k, v in layout.STYLES.items())
+_STYLE = """CASE WHEN metadata.style IN ('Heading 1', 'Title', '1') THEN 'title' WHEN metadata.style IN ('Heading 2', 'Heading 3', 'Heading 4', 'Heading 5', 'Heading 6', 'Subtitle', '2', '3') THEN 'section_heading'
+WHEN metadata.max_font_size >= 18 THEN 'title' WHEN metadata.max_font_size >= 14 THEN 'section_heading'
+WHEN length(content) <= 60 AND regexp_matches(content, '^(第[一二三四五六七八九十百\\d]+[章节]|\\d+(\\.\\d+)+|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十\\d]+[）)]|.{1,8}题$)') THEN 'section_heading' ELSE 'text' END"""
 
 
-@query(f"WITH {BLOCKS} SELECT block_id, CASE {_STYLE} WHEN metadata.max_font_size >= 18 THEN 'title' WHEN metadata.max_font_size >= 14 THEN 'section_heading' WHEN length(content) <= 60 AND regexp_matches(content, '{layout.NUMBERED_HEADING}') THEN 'section_heading' ELSE 'text' END AS kind FROM b WHERE content IS NOT NULL")
+@query(f"WITH {BLOCKS} SELECT block_id, {_STYLE} AS kind FROM b WHERE content IS NOT NULL")
 def styled_types(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).where("content is not null").select("block_id", layout.styled_type(F.col("metadata.style"), F.col("metadata.max_font_size"), F.col("content")).alias("kind"))
 
 
-@query(f"WITH {BLOCKS} SELECT block_id, CASE WHEN lower(content) LIKE 'table %' OR content LIKE '表 %' THEN 'table_caption' WHEN lower(content) LIKE 'figure %' OR content LIKE '图 %' THEN 'figure_caption' WHEN metadata.max_font_size >= 18 THEN 'title' WHEN metadata.max_font_size >= 12 THEN 'section_heading' ELSE 'text' END AS class FROM b WHERE content IS NOT NULL")
+_TRIM = "trim(content, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, CASE WHEN lower({_TRIM}) LIKE 'table %' OR {_TRIM} LIKE '表 %' THEN 'table_caption' WHEN lower({_TRIM}) LIKE 'figure %' OR {_TRIM} LIKE '图 %' THEN 'figure_caption' WHEN metadata.max_font_size >= 18 THEN 'title' WHEN metadata.max_font_size >= 12 THEN 'section_heading' ELSE 'text' END AS class FROM b WHERE content IS NOT NULL")
 def block_classes(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).where("content is not null").select("block_id", layout.block_class(F.col("metadata.max_font_size"), F.col("content")).alias("class"))
 
 
-_LABELS = [*layout.CATEGORIES, "text", "abstract", "algorithm", "number", "unknown"]
+_CLASSED = [
+    ("Table 2: Results", 10.0), ("表 1：实验数据", 10.0), ("  Table 1 x", 20.0), ("\n图 3 结构", 11.0), ("FIGURE 4", 30.0), ("Tables", 10.0), ("Report", 18.0), ("Report", 24.0), ("Part", 14.0), ("Part", 12.0), ("Body", 11.9), ("", 18.0), ("Body", None),
+]
+
+
+@query("""SELECT * FROM (VALUES (0, 'table_caption'), (1, 'table_caption'), (2, 'table_caption'), (3, 'figure_caption'), (4, 'figure_caption'), (5, 'text'), (6, 'title'), (7, 'title'), (8, 'section_heading'),
+(9, 'section_heading'), (10, 'text'), (11, 'title'), (12, 'text')) AS t(n, class)""")
+def block_class_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The class of single texts: captions before sizes, blanks at the ends ignored."""
+    rows = spark.createDataFrame([(n, *x) for n, x in enumerate(_CLASSED)], "n int, text string, size double")
+    return rows.select("n", layout.block_class(F.col("size"), F.col("text")).alias("class"))
 
 
-@query("SELECT label, CASE " + " ".join(f"WHEN label = '{k}' THEN '{v}'" for k, v in layout.CATEGORIES.items()) + " ELSE 'text' END AS category FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in _LABELS) + "]) AS label)")
+@query("""SELECT * FROM (VALUES ('doc_title', 'title'), ('paragraph_title', 'section_heading'), ('image', 'figure'), ('chart', 'figure'), ('seal', 'figure'), ('figure_title', 'figure_caption'), ('table', 'table'), ('header', 'header'),
+('header_image', 'header'), ('footer', 'footer'), ('footer_image', 'footer'), ('footnote', 'footer'), ('vision_footnote', 'footer'), ('display_formula', 'formula'), ('inline_formula', 'formula'), ('formula_number', 'formula'),
+('reference', 'reference'), ('reference_content', 'reference'), ('text', 'text'), ('abstract', 'text'), ('algorithm', 'text'), ('number', 'text'), ('unknown', 'text')) AS t(label, category)""")
 def label_map(spark: SparkSession, d: str) -> DataFrame:
-    labels = spark.createDataFrame([(x,) for x in _LABELS], "label string")
+    labels = spark.createDataFrame([(x,) for x in (*layout.CATEGORIES, "text", "abstract", "algorithm", "number", "unknown")], "label string")
     return labels.select("label", layout.category(F.col("label")).alias("category"))
 
 
@@ -396,17 +445,68 @@ def block_elements(spark: SparkSession, d: str) -> DataFrame:
     return layout.layout_elements(_blocks(spark, d)).select("block_id", "category", F.round("confidence", 6).alias("confidence"), "text")
 
 
-TWO = "tc AS (SELECT doc_id, page_num, count(*) >= 3 AND count_if(bbox.x1 <= 297.5 - 0.08 * 595) / count(*) >= 0.25 AND count_if(bbox.x0 >= 297.5 + 0.08 * 595) / count(*) >= 0.25 AS two_columns FROM b WHERE bbox IS NOT NULL GROUP BY ALL)"
+PAGED = """pw AS (SELECT doc_id, page_num, max(width) AS w FROM pages GROUP BY ALL),
+bw AS (SELECT b.*, coalesce(w, 595.0) AS w, coalesce(block_type IN ('figure', 'image'), false) AS image FROM b LEFT JOIN pw USING (doc_id, page_num)),
+sd AS (SELECT doc_id, page_num, count_if(NOT image AND bbox.x1 <= w / 2 - 0.08 * w) AS l, count_if(NOT image AND NOT bbox.x1 <= w / 2 - 0.08 * w AND bbox.x0 >= w / 2 + 0.08 * w) AS r FROM bw GROUP BY ALL),
+tc AS (SELECT doc_id, page_num, coalesce(l + r >= 3 AND l / nullif(l + r, 0) >= 0.25 AND r / nullif(l + r, 0) >= 0.25, false) AS two_columns FROM sd)"""
 
 
-@query(f"WITH {BLOCKS}, {TWO} SELECT * FROM tc")
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    widths = table(spark, d, "pages", "doc_id", "page_num", "width").groupBy("doc_id", "page_num").agg(F.max("width").alias("width"))
+    return _blocks(spark, d).join(widths, ["doc_id", "page_num"], "left").withColumn("image", F.coalesce(F.col("block_type").isin("figure", "image"), F.lit(False)))
+
+
+@query(f"WITH {BLOCKS}, {PAGED} SELECT * FROM tc")
 def two_columns(spark: SparkSession, d: str) -> DataFrame:
-    return layout.two_columns(_blocks(spark, d))
+    return layout.two_columns(_boxes(spark, d))
 
 
-@query(f'WITH {BLOCKS}, {TWO} SELECT block_id, CAST(row_number() OVER (PARTITION BY b.doc_id, b.page_num ORDER BY bbox.y0, CASE WHEN two_columns THEN CAST(bbox.x0 >= 297.5 AS INTEGER) ELSE 0 END, block_idx, block_id) - 1 AS INTEGER) AS "order" FROM b JOIN tc USING (doc_id, page_num) WHERE bbox IS NOT NULL')
+@query(f"""WITH {BLOCKS}, {PAGED} SELECT block_id, CAST(row_number() OVER (PARTITION BY doc_id, page_num
+ORDER BY bbox.y0, CASE WHEN two_columns AND NOT image AND NOT bbox.x1 < w / 2 - 0.08 * w AND bbox.x0 > w / 2 + 0.08 * w THEN 1 ELSE 0 END, block_idx, block_id) - 1 AS INTEGER) AS "order" FROM bw JOIN tc USING (doc_id, page_num) WHERE bbox IS NOT NULL""")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    return layout.reading_order(_blocks(spark, d)).select("block_id", "order")
+    return layout.reading_order(_boxes(spark, d)).select("block_id", "order")
+
+
+def _raw_pages(spark: SparkSession) -> DataFrame:
+    """Pages in dictionary form: one with two columns among wide lines and a picture, one of one column, one of width 0, one empty."""
+    text = lambda x0, y0, x1, t, size=11.0: {"type": 0, "bbox": [x0, y0, x1, y0 + 10], "lines": [{"spans": [{"text": t, "size": size, "font": "f"}]}]}
+    wide = [text(50.0, 300.0 + k, 550.0, f"wide {k}") for k in range(6)]
+    picture = {"type": 1, "bbox": [400.0, 100.0, 500.0, 150.0], "lines": None}
+    both = [text(400.0, 100.0, 550.0, "right one"), text(50.0, 100.0, 200.0, " left one "), text(400.0, 200.0, 550.0, "right two"), text(50.0, 200.0, 200.0, "left two"), text(340.0, 200.0, 550.0, "in the gap"), picture, *wide]
+    blank = {"type": 0, "bbox": [0.0, 0.0, 1.0, 1.0], "lines": [{"spans": [{"text": "  ", "size": 30.0, "font": "f"}]}, {"spans": []}]}
+    parts = {"type": 0, "bbox": [10.0, 5.0, 90.0, 9.0], "lines": [{"spans": [{"text": "Big", "size": 18.0, "font": "f"}, {"text": " small", "size": 8.0, "font": "f"}]}, {"spans": [{"text": "x", "size": None, "font": "f"}]}]}
+    one = [text(10.0, 50.0, 90.0, "  Table 1 x", 20.0), blank, parts, text(10.0, 30.0, 90.0, "Head", 14.0)]
+    rows = [("a", 1, 595.0, 842.0, both), ("a", 2, 600.0, 800.0, one), ("b", 1, 0.0, 0.0, [text(1.0, 2.0, 3.0, "y"), text(1.0, 1.0, 3.0, "z")]), ("b", 2, 595.0, 842.0, [])]
+    return spark.createDataFrame(rows, src.TEXT_DICT)
+
+
+RAW_ELEMENTS = """SELECT * FROM (VALUES ('a', 1, 0, 'text', 0.85, 'left one'), ('a', 1, 1, 'figure', 0.9, ''), ('a', 1, 2, 'text', 0.85, 'right one'), ('a', 1, 3, 'text', 0.85, 'left two'), ('a', 1, 4, 'text', 0.85, 'in the gap'),
+('a', 1, 5, 'text', 0.85, 'right two'), ('a', 1, 6, 'text', 0.85, 'wide 0'), ('a', 1, 7, 'text', 0.85, 'wide 1'), ('a', 1, 8, 'text', 0.85, 'wide 2'), ('a', 1, 9, 'text', 0.85, 'wide 3'), ('a', 1, 10, 'text', 0.85, 'wide 4'),
+('a', 1, 11, 'text', 0.85, 'wide 5'), ('a', 2, 0, 'title', 0.85, 'Big smallx'), ('a', 2, 1, 'section_heading', 0.85, 'Head'), ('a', 2, 2, 'table_caption', 0.85, 'Table 1 x'), ('b', 1, 0, 'text', 0.85, 'z'), ('b', 1, 1, 'text', 0.85, 'y')
+) AS t(doc_id, page_num, element_idx, category, confidence, text)"""
+
+
+@query(RAW_ELEMENTS.replace("0.85", "0.85::DOUBLE").replace("0.9,", "0.9::DOUBLE,"))
+def raw_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Layout without a model, from pages in dictionary form."""
+    return layout.raw_elements(_raw_pages(spark)).drop("bbox")
+
+
+@query("SELECT * FROM (VALUES ('a', 1, true), ('a', 2, false), ('b', 1, false), ('b', 2, false)) AS t(doc_id, page_num, two_columns)")
+def two_column_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns on pages of few texts: wide ones and pictures don't count."""
+    rows = _raw_pages(spark).select("doc_id", "page_num", "width", F.explode_outer("blocks").alias("b"))
+    box = F.struct(*[F.get("b.bbox", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    return layout.two_columns(rows.select("doc_id", "page_num", "width", F.when(F.col("b").isNotNull(), box).alias("bbox"), (F.coalesce("b.type", F.lit(0)) == 1).alias("image")))
+
+
+@query(f"""WITH r AS ({RAW_ELEMENTS}) SELECT doc_id, page_num, 'raw' AS source, count(*) AS n FROM r WHERE NOT (doc_id = 'a' AND page_num = 2) GROUP BY ALL UNION ALL SELECT 'a', 2, 'model', 1 UNION ALL SELECT 'w', 1, 'word', 1""")
+def layout_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's elements from the first source that has any: a model for one page, text dictionaries, word-processor blocks."""
+    raw = layout.raw_elements(_raw_pages(spark))
+    one = lambda doc, page: raw.where("doc_id = 'b' and element_idx = 0").select(F.lit(doc).alias("doc_id"), F.lit(page).alias("page_num"), *raw.columns[2:])
+    out = layout.analysed(one("a", 2), raw, one("w", 1).unionByName(one("a", 2)))
+    return out.groupBy("doc_id", "page_num", "source").agg(F.count("*").alias("n"))
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
@@ -428,6 +528,11 @@ def tree_text(spark: SparkSession, d: str) -> DataFrame:
     return layout.tree_lines(layout.layout_tree(_elements(spark, d)))
 
 
+@query(f"WITH {BLOCKS}, {TREE} SELECT doc_id, element_idx, '/' || coalesce(category, '') AS path FROM tr")
+def tree_paths(spark: SparkSession, d: str) -> DataFrame:
+    return layout.tree_paths(layout.layout_tree(_elements(spark, d))).select("doc_id", "element_idx", F.concat(F.lit("/"), F.array_join("path", "/")).alias("path"))
+
+
 _I = "CASE WHEN least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) THEN (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) ELSE 0 END"
 
 
@@ -454,15 +559,56 @@ def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
     return b.select("block_id", F.round(layout.page_confidence(F.col("content")), 6).alias("page_confidence"))
 
 
-@query(f"WITH {BLOCKS} SELECT block_id, {STRIP % "regexp_replace(content, '```[a-z]*', '', 'g')"} AS latex, CASE WHEN {STRIP % "regexp_replace(content, '```[a-z]*', '', 'g')"} LIKE '$$%' THEN 0.85 ELSE 0.7 END::DOUBLE AS formula_confidence FROM b WHERE block_type = 'formula'")
+_FENCED = ["```latex\nx^2\n```", "```LaTeX\n$$a$$\n```", "``````", "", "  $$x$$ ", "a ```b``` c", "```", "```x", "y\nz\n```", None, "x```"]
+
+
+@query("""SELECT * FROM (VALUES (0, 'x^2', 0.7::DOUBLE), (1, '$$a$$', 0.85), (2, '', 0.0), (3, '', 0.0), (4, '$$x$$', 0.85), (5, 'a ```b``` c', 0.7), (6, '', 0.0), (7, 'x', 0.7), (8, 'y' || chr(10) || 'z', 0.7), (9, '', 0.0), (10, 'x', 0.7)) AS t(n, latex, confidence)""")
+def formula_cases(spark: SparkSession, d: str) -> DataFrame:
+    """A recogniser's answers without the fences around them."""
+    rows = spark.createDataFrame(list(enumerate(_FENCED)), "n int, raw string")
+    return rows.select("n", layout.cleaned_formula(F.col("raw")).alias("latex"), layout.formula_confidence(F.col("raw")).alias("confidence"))
+
+
+_TEXT = f"SELECT block_id, {STRIP % 'content'} AS t FROM b WHERE block_type = 'formula' AND content IS NOT NULL"
+
+
+@query(f"""WITH {BLOCKS}, x0 AS ({_TEXT}), x1 AS (SELECT block_id, CASE WHEN NOT starts_with(t, '```') THEN t WHEN contains(t, chr(10)) THEN t[strpos(t, chr(10)) + 1:] ELSE t[4:] END AS t FROM x0),
+x2 AS (SELECT block_id, CASE WHEN NOT ends_with(t, '```') THEN t WHEN contains(t, chr(10)) THEN t[1:length(t) - strpos(reverse(t), chr(10))] ELSE t[1:length(t) - 3] END AS t FROM x1)
+SELECT block_id, CASE WHEN t = '``````' THEN '' ELSE {STRIP % 't'} END AS latex, CASE WHEN t IN ('', '``````') THEN 0.0 WHEN starts_with(t, '$$') THEN 0.85 ELSE 0.7 END::DOUBLE AS formula_confidence FROM x2""")
 def formulas(spark: SparkSession, d: str) -> DataFrame:
-    b = _blocks(spark, d).where("block_type = 'formula'")
+    b = _blocks(spark, d).where("block_type = 'formula' and content is not null")
     return b.select("block_id", layout.cleaned_formula(F.col("content")).alias("latex"), layout.formula_confidence(F.col("content")).alias("formula_confidence"))
 
 
-@query("SELECT p_partkey, CAST(CASE WHEN p_size * 20 < 600 THEN greatest(2, 600 // (p_size * 20) + 1) ELSE 1 END AS INTEGER) AS scale FROM part WHERE p_size > 0")
+@query(f"""WITH {BLOCKS} SELECT block_id, CASE WHEN t = '' THEN '' WHEN t LIKE '$$%' THEN t ELSE '$$' || t || '$$' END AS latex, CASE WHEN t = '' THEN 0.0 ELSE 0.85 END::DOUBLE AS confidence
+FROM (SELECT block_id, {STRIP % "coalesce(content, '')"} AS t FROM b WHERE block_type IN ('formula', 'figure'))""")
+def wrapped_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of formulas and figures as displayed mathematics."""
+    b = _blocks(spark, d).where("block_type in ('formula', 'figure')")
+    return b.select("block_id", layout.wrapped_formula(F.col("content")).alias("w")).select("block_id", "w.*")
+
+
+@query("SELECT * FROM (VALUES (0, 601), (1, 601), (20, 31), (299, 3), (300, 3), (301, 2), (599, 2), (600, 1), (4000, 1)) AS t(width, scale)")
 def image_scale(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part", "p_partkey", "p_size").where("p_size > 0").select("p_partkey", layout.image_scale(F.col("p_size") * 20).alias("scale"))
+    """Enlargement of formula images by width."""
+    rows = spark.createDataFrame([(w,) for w in (0, 1, 20, 299, 300, 301, 599, 600, 4000)], "width int")
+    return rows.select("width", layout.image_scale(F.col("width")).alias("scale"))
+
+
+@query("SELECT block_id, CASE WHEN m > 1024 THEN CAST(floor(w * (1024.0::DOUBLE / m)) AS INTEGER) ELSE CAST(floor(w) AS INTEGER) END AS width, CASE WHEN m > 1024 THEN CAST(floor(h * (1024.0::DOUBLE / m)) AS INTEGER) ELSE CAST(floor(h) AS INTEGER) END AS height FROM (SELECT *, greatest(w, h) AS m FROM (SELECT block_id, (bbox.x1 - bbox.x0) * 3 AS w, (bbox.y1 - bbox.y0) * 3 AS h FROM (" + f"WITH {BLOCKS} SELECT * FROM b" + ") WHERE bbox IS NOT NULL AND block_type IN ('figure', 'table')))")
+def capped_images(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the regions' images, rendered three times as large, after the longest edge is capped."""
+    b = _blocks(spark, d).where("bbox is not null and block_type in ('figure', 'table')")
+    size = layout.capped_size((F.col("bbox.x1") - F.col("bbox.x0")) * 3, (F.col("bbox.y1") - F.col("bbox.y0")) * 3)
+    return b.select("block_id", size.alias("z")).select("block_id", "z.*")
+
+
+@query("""SELECT * FROM (VALUES (0, 'image/png'), (1, 'image/jpeg'), (2, 'image/gif'), (3, 'image/gif'), (4, 'image/bmp'), (5, 'image/png'), (6, 'image/png'), (7, 'image/png')) AS t(n, mime)""")
+def mime_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of images by their first bytes; GIF88 and a JPEG cut after two bytes are unknown."""
+    heads = [b"\x89PNG\r\n\x1a\n..", b"\xff\xd8\xff\xe0", b"GIF87a..", b"GIF89a", b"BM..", b"GIF88a..", b"\xff\xd8\x00", b""]
+    rows = spark.createDataFrame([(n, bytearray(h)) for n, h in enumerate(heads)], "n int, head binary")
+    return rows.select("n", layout.mime_type(F.col("head")).alias("mime"))
 
 
 @query(f"""WITH {BLOCKS}, r AS (SELECT doc_id || '/' || page_num AS doc_id, CASE block_type WHEN 'title' THEN 'title' WHEN 'table' THEN 'table' ELSE 'text' END AS category, bbox FROM b WHERE bbox IS NOT NULL AND block_idx % 7 <> 3),
@@ -528,6 +674,49 @@ def table_markdown(spark: SparkSession, d: str) -> DataFrame:
     return tab.rendered(tab.cells(_table_rows(spark, d)))
 
 
+@query("""SELECT * FROM (VALUES ('t', '| h | k |' || chr(10) || '| --- | --- |' || chr(10) || '| aa |  |'), ('u', '| x |' || chr(10) || '| --- |' || chr(10) || '| y |')) AS t(id, markdown)""")
+def duplicate_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Of two cells in one place the later one is shown, whatever its text."""
+    rows = [("t", 0, 0, 0, "h"), ("t", 1, 0, 1, "k"), ("t", 2, 1, 0, "zz"), ("t", 3, 1, 0, "aa"), ("t", 4, -1, 0, "lost"), ("u", 0, 0, 0, "x"), ("u", 1, 1, 0, "y")]
+    return tab.rendered(spark.createDataFrame(rows, "id string, cell_idx int, row_index int, col_index int, text string"))
+
+
+@query(f"""WITH {BLOCKS}, x AS (SELECT block_id AS id, list_filter(list_transform(string_split(content, chr(10)), lambda s: {STRIP % 's'}), lambda s: s <> '') AS l FROM b WHERE content IS NOT NULL AND metadata.source IS NOT NULL)
+SELECT id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS row_index, unnest(l) AS text FROM x""")
+def text_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised text as tables of one column."""
+    return tab.text_table(_blocks(spark, d).where("metadata.source is not null"), "block_id", "content")
+
+
+@query("""SELECT * FROM (VALUES ('t1', 0, 0, 0, 'a'), ('t1', 1, 9, 0, 'b'), ('t1', 0, 10, 0, 'c'), ('t1', 1, 14, 1, 'd'), ('t3', 0, 0, 0, 'e'), ('t4', 0, 0, 0, 'f'), ('t4', 0, 3, 0, 'g')) AS t(table_id, cell_idx, row_index, col_index, text)""")
+def merged_table_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a continuation stand below its head's, and the third of a run begins anew."""
+    tables = [("d", 1, "t1", 10, 3, 1), ("d", 2, "t2", 5, 3, 0), ("d", 3, "t3", 2, 4, 0), ("d", 4, "t4", 3, 3, 0), ("d", 5, "t5", 2, 3, 0)]
+    cells = [("t1", 0, 0, 0, "a"), ("t1", 1, 9, 0, "b"), ("t2", 0, 0, 0, "c"), ("t2", 1, 4, 1, "d"), ("t3", 0, 0, 0, "e"), ("t4", 0, 0, 0, "f"), ("t5", 0, 0, 0, "g")]
+    t = spark.createDataFrame(tables, "doc_id string, seq int, table_id string, n_rows int, n_cols int, header_rows int")
+    c = spark.createDataFrame([(*x, False) for x in cells], "table_id string, cell_idx int, row_index int, col_index int, text string, is_header boolean")
+    return tab.merged_cells(t, c).select("table_id", "cell_idx", "row_index", "col_index", "text")
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, 3 AS page_num, bbox.x0 AS x0, 0 AS num_rows FROM b WHERE lower(block_type) = 'table' AND bbox IS NOT NULL")
+def table_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Table elements as tables still without cells, on a page of the caller's."""
+    e = _blocks(spark, d).where("bbox is not null").select("doc_id", F.col("block_id").alias("element_idx"), F.col("block_type").alias("category"), "bbox")
+    return tab.table_objects(e, 3).select(F.col("element_idx").alias("block_id"), "page_num", "bbox.x0", "num_rows")
+
+
+@query(f"""WITH {BLOCKS}, rg AS (SELECT doc_id, page_num, block_idx, block_id, bbox AS r, confidence FROM b WHERE lower(block_type) IN ('table', 'table_caption', 'table_content') AND bbox IS NOT NULL),
+tx AS (SELECT rg.block_id, sum(length(content)) AS chars FROM rg JOIN b USING (doc_id, page_num) WHERE block_type = 'text' AND bbox IS NOT NULL AND NOT (r.x1 < bbox.x0 OR bbox.x1 < r.x0 OR r.y1 < bbox.y0 OR bbox.y1 < r.y0) GROUP BY rg.block_id)
+SELECT doc_id, page_num, '| ' || block_idx || ' |' AS content, confidence FROM rg LEFT JOIN tx USING (block_id) WHERE coalesce(chars, 0) <= 30 AND block_idx % 3 = 0""")
+def recovered_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks appended for tables whose images were recognised; here two of three answers refuse."""
+    b = keep(_blocks(spark, d).select("doc_id", "page_num", "block_idx", "block_id", "content", "block_type", "bbox", "confidence"))
+    e = b.select("doc_id", "page_num", F.col("block_idx").alias("element_idx"), F.col("block_type").alias("category"), "confidence", "bbox")
+    answer = F.when(F.col("block_idx") % 3 == 0, F.concat(F.lit(" | "), F.col("block_idx").cast("string"), F.lit(" | "))).when(F.col("block_idx") % 3 == 1, "not_a_table").otherwise(" ")
+    out = tab.recovered(b, e, b.select("doc_id", "page_num", F.col("block_idx").alias("element_idx"), answer.alias("markdown")))
+    return out.where("source = 'table_recovery'").select("doc_id", "page_num", "content", "confidence")
+
+
 @query(f"WITH {BLOCKS} SELECT block_id, lower(block_type) AS kind FROM b WHERE lower(block_type) IN ('table', 'table_caption', 'table_content')")
 def table_regions(spark: SparkSession, d: str) -> DataFrame:
     return tab.table_regions(_blocks(spark, d), "block_type").select("block_id", F.lower("block_type").alias("kind"))
@@ -630,12 +819,63 @@ def queue_status(spark: SparkSession, d: str) -> DataFrame:
     return _tasks(spark, d).groupBy("status").agg(F.count("*").alias("tasks"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT count(DISTINCT doc_id) AS documents, (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunks, count(DISTINCT doc_id) FILTER (WHERE status IN ('queued', 'processing')) AS in_work FROM parsed_documents")
+@query(f"""WITH {TASKS}, w AS (SELECT task_id, row_number() OVER (ORDER BY seq, task_id) AS queue_position FROM tk WHERE status = 'queued')
+SELECT task_id, status, filename, queue_position, false AS is_processing FROM tk LEFT JOIN w USING (task_id) WHERE task_id = (SELECT CAST(max(o_orderkey) AS VARCHAR) FROM orders)""")
+def task_status(spark: SparkSession, d: str) -> DataFrame:
+    """The status of one task, here of the latest order."""
+    t = _tasks(spark, d)
+    last = t.agg(F.max("seq").cast("string").alias("last"))
+    out = review.task_status(t.crossJoin(F.broadcast(last)), F.col("last"))  # one row
+    return out.select("task_id", "status", "filename", F.col("queue_position").cast("bigint").alias("queue_position"), "is_processing")
+
+
+@query(f"WITH {TASKS} SELECT task_id, status, CASE WHEN status = 'queued' THEN row_number() OVER (PARTITION BY status ORDER BY seq, task_id) ELSE 0 END AS queue_position FROM tk")
+def list_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return review.listed(_tasks(spark, d)).select("task_id", "status", F.coalesce("queue_position", F.lit(0)).alias("queue_position"))
+
+
+@query(f"""WITH {TASKS}, q AS (SELECT task_id, seq, CASE status WHEN 'review' THEN 'processing' ELSE status END AS status FROM tk)
+SELECT count_if(status = 'processing')::BIGINT AS running_count, count_if(status = 'queued')::BIGINT AS waiting_count, 2 AS max_concurrent,
+(SELECT string_agg(task_id, ',' ORDER BY seq, task_id) FROM (SELECT * FROM q WHERE status = 'processing' ORDER BY seq, task_id LIMIT 5)) AS running,
+(SELECT string_agg(task_id, ',' ORDER BY seq, task_id) FROM (SELECT * FROM q WHERE status = 'queued' ORDER BY seq, task_id LIMIT 5)) AS waiting FROM q""")
+def queue_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The queue's state: counts, and the first tasks that run and wait."""
+    t = _tasks(spark, d).withColumn("status", F.when(F.col("status") == "review", "processing").otherwise(F.col("status")))
+    out = review.queue_lists(t, 2, 5)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("running", "waiting")})
+
+
+@query(f"""WITH {TASKS} SELECT task_id, CASE WHEN o_totalprice > 150000 AND needs_review THEN 'queued' ELSE status END AS status, needs_review AND NOT o_totalprice > 150000 AS needs_review, CASE WHEN o_totalprice > 150000 AND needs_review THEN '' ELSE 'e' END AS error FROM tk""")
+def reprocessed(spark: SparkSession, d: str) -> DataFrame:
+    """The task table after some of the tasks in review are sent through the queue again."""
+    t = keep(_tasks(spark, d).withColumn("file_path", F.col("filename")).withColumn("error", F.lit("e")))
+    return review.requeued(t, t.where("needs_review and o_totalprice > 150000")).select("task_id", "status", "needs_review", "error")
+
+
+@query(f"""WITH {BLOCKS}, {CHUNKS}, pb AS (SELECT doc_id, page_num, string_agg(block_id || ':' || coalesce(block_type, 'text'), ',' ORDER BY block_idx, block_id) AS bs, sum(length(coalesce(content, ''))) AS tl FROM b GROUP BY ALL),
+pd AS (SELECT doc_id, string_agg(page_num || '/' || tl || '/' || bs, ';' ORDER BY page_num) AS pages FROM pb GROUP BY doc_id),
+cd AS (SELECT doc_id, count(*) AS total_chunks, string_agg(chunk_id || ':' || coalesce(metadata.chunk_type, 'text') || ':' || coalesce(metadata.section, ''), ';' ORDER BY chunk_seq, chunk_id) AS chunks FROM c GROUP BY doc_id)
+SELECT d.doc_id, pages, chunks, coalesce(total_chunks, 0) AS total_chunks FROM (SELECT DISTINCT doc_id FROM parsed_documents) d LEFT JOIN pd USING (doc_id) LEFT JOIN cd USING (doc_id)""")
+def review_details(spark: SparkSession, d: str) -> DataFrame:
+    """The review payload of every document, flattened to text."""
+    tasks = table(spark, d, "parsed_documents", "doc_id").distinct()
+    out = review.review_details(tasks, _blocks(spark, d), _chunks(spark, d))
+    block = lambda x: F.concat(x["block_id"], F.lit(":"), x["block_type"])
+    page = lambda p: F.concat_ws("/", p["page_num"].cast("string"), p["text_length"].cast("string"), F.array_join(F.transform(p["blocks"], block), ","))
+    chunk = lambda x: F.concat_ws(":", x["chunk_id"], x["chunk_type"], x["section"])
+    return out.select("doc_id", F.array_join(F.transform("pages", page), ";").alias("pages"), F.array_join(F.transform("chunks", chunk), ";").alias("chunks"), "total_chunks")
+
+
+@query("""SELECT count(*) AS documents, CAST((SELECT count(DISTINCT chunk_id) FROM chunks) AS BIGINT) AS chunks, CAST(count_if(w) AS BIGINT) AS in_work, (SELECT string_agg(doc_id, ',' ORDER BY doc_id DESC) FROM (SELECT DISTINCT doc_id FROM parsed_documents ORDER BY doc_id DESC LIMIT 5)) AS first_five
+FROM (SELECT doc_id, bool_or(coalesce(status IN ('queued', 'processing'), false)) AS w FROM parsed_documents WHERE doc_id IS NOT NULL GROUP BY doc_id)""")
 def dashboard(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "parsed_documents", "doc_id", "status")
-    a = p.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("status").isin("queued", "processing"), F.col("doc_id"))).alias("in_work"))
-    n = table(spark, d, "chunks", "chunk_id").agg(F.countDistinct("chunk_id").alias("chunks"))
-    return a.crossJoin(F.broadcast(n)).select("documents", "chunks", "in_work")  # one row each
+    p = table(spark, d, "parsed_documents", "doc_id", "status").where("doc_id is not null")
+    docs = keep(p.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("status").isin("queued", "processing"), F.lit(False))).alias("w")))
+    a = docs.agg(F.count("*").alias("documents"), F.count_if("w").alias("in_work"))
+    per = table(spark, d, "chunks", "doc_id", "chunk_id").where("chunk_id is not null").distinct().select("chunk_id").distinct()
+    n = per.agg(F.count("*").alias("chunks"))
+    five = docs.orderBy(F.desc("doc_id")).limit(5).agg(F.array_join(F.reverse(F.array_sort(F.collect_list("doc_id"))), ",").alias("first_five"))
+    return a.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(five)).select("documents", "chunks", "in_work", "first_five")  # one row each
 
 
 @query("SELECT doc_id, coalesce(max(filename), '') AS filename, coalesce(max(status), 'uploaded') AS status, coalesce(max(total_pages), 0) AS total_pages FROM parsed_documents GROUP BY doc_id")
@@ -644,6 +884,45 @@ def list_documents(spark: SparkSession, d: str) -> DataFrame:
     return p.agg(F.coalesce(F.max("filename"), F.lit("")).alias("filename"), F.coalesce(F.max("status"), F.lit("uploaded")).alias("status"), F.coalesce(F.max("total_pages"), F.lit(0)).alias("total_pages"))
 
 
+@query("""WITH it AS (SELECT text AS q, list_filter(regexp_split_to_array(text, ' '), lambda w: length(w) > 7) AS terms FROM (SELECT DISTINCT text FROM eval_items WHERE text IS NOT NULL)),
+an AS (SELECT DISTINCT text AS q, upper(text)[1:60] AS answer, CAST(length(text) % 2 AS INTEGER) AS citations, length(text) % 10 / 10.0::DOUBLE AS confidence FROM eval_items WHERE text IS NOT NULL),
+ok AS (SELECT it.q, len(list_filter(terms, lambda t: contains(lower(answer), lower(t)))) > 0 AND citations >= 1 AS passed, citations, confidence FROM it JOIN an USING (q))
+SELECT count(*) AS asked, CAST(count_if(passed) AS BIGINT) AS passed, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(confidence), 6) AS avg_confidence, round(avg(citations), 6) AS avg_citations FROM ok""")
+def evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """An evaluation set with several key terms an item: the items' long words, asked of answers made from their beginnings."""
+    q = table(spark, d, "eval_items", "text").where("text is not null").distinct()
+    items = q.select(F.col("text").alias("q"), F.filter(F.split("text", " "), lambda w: F.length(w) > 7).alias("key_terms"))
+    answers = q.select(F.col("text").alias("q"), F.substring(F.upper("text"), 1, 60).alias("answer"), (F.length("text") % 2).alias("citations"), (F.length("text") % 10 / 10).alias("confidence"))
+    return review.evaluated(answers, items)
+
+
+@query("""WITH p AS (SELECT DISTINCT item_id AS key, text FROM eval_items WHERE text IS NOT NULL)
+SELECT key, CASE WHEN key % 5 = 0 THEN 'known' WHEN key % 5 = 1 THEN 'no answer' ELSE upper(text)[1:40] END AS answer, key % 5 NOT IN (0, 1) AS store FROM p""")
+def answer_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Answers from the cache, else from a generator; of five items one is cached and one is answered by blanks."""
+    p = table(spark, d, "eval_items", "item_id", "text").where("text is not null").distinct().select(F.col("item_id").alias("key"), F.col("text").alias("prompt"))
+    p = p.withColumn("prompt", F.when(F.col("key") % 5 == 1, " ").otherwise(F.col("prompt")))
+    cache = p.where("key % 5 = 0").select("key", F.lit("known").alias("value"))
+    return scorers.cached_answers(p, cache, lambda c: F.substring(F.upper(c), 1, 40))
+
+
+@query("""SELECT DISTINCT chunk_id, CASE WHEN content IS NULL THEN NULL WHEN length(content) % 2 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE AS first, CASE WHEN content IS NOT NULL THEN 2 END AS dim FROM (SELECT DISTINCT chunk_id, content FROM chunks)""")
+def encode_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all contents: cached ones of the right length, the others encoded; here the contents of even length are cached, those divisible by three with stale vectors."""
+    rows = table(spark, d, "chunks", "chunk_id", "content").distinct()
+    c = rows.where("content is not null and length(content) % 2 = 0").select(T.content_key(F.col("content")).alias("key"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding")).distinct()
+    stale = rows.where("content is not null and length(content) % 3 = 0").select(T.content_key(F.col("content")).alias("key"), F.array(F.lit(9.0)).alias("embedding")).distinct()
+    out = scorers.encoded(rows, "content", c.unionByName(stale), lambda text: F.array(F.lit(2.0), F.lit(0.0)), 2)
+    return out.select("chunk_id", F.get("embedding", F.lit(0)).alias("first"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"))
+
+
+@query(f"""WITH {HYBRID} SELECT query_id, id, rank FROM h""")
+def retrieve_unscored(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval without a reranker: the fused order stays."""
+    contents = _kept_chunks(spark, d).select(F.col("chunk_id").alias("id"), "content", "metadata")
+    return retrieval.retrieve(*_rankings(spark, d, 100), contents, _hybrid_queries(spark, d), scorer=None).select("query_id", "id", "rank")
+
+
 @query(f"WITH {TASKS} SELECT task_id, filename FROM tk WHERE needs_review AND task_id NOT IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R')")
 def pending_reviews(spark: SparkSession, d: str) -> DataFrame:
     decided = table(spark, d, "lineitem", "l_orderkey", "l_returnflag").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("task_id"))

@@ -80,7 +80,7 @@ def raw_chunks(blocks: DataFrame, limit: int = 2500, overlap: int = 128) -> Data
     starts = F.col("kind").isin("heading", "short", "alone") | (before == "alone") | (question(F.col("text")) & ~lone & ~blank)
     u = u.withColumn("grp", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(line))
     name = F.when(F.col("kind") == "short", F.col("text")).when(F.col("kind") == "heading", F.substring("raw", 1, 60))
-    u = u.withColumn("name", name).withColumn("own_section", F.last("name", ignorenulls=True).over(line)).withColumn("path", F.collect_list("name").over(line))
+    u = u.withColumn("name", name).withColumn("own_section", F.last("name", ignorenulls=True).over(line)).withColumn("heads", F.count("name").over(line))
     is_text = F.col("kind") == "text"
     item = F.struct("block_idx", "sub", F.col("text").alias("t"))
     g = u.groupBy("doc_id", "page_num", "grp").agg(
@@ -89,14 +89,17 @@ def raw_chunks(blocks: DataFrame, limit: int = 2500, overlap: int = 128) -> Data
         F.min_by("block_type", F.struct("block_idx", "sub")).alias("block_type"),
         F.min_by("bbox", F.struct("block_idx", "sub")).alias("bbox"),
         F.max_by("own_section", F.struct("block_idx", "sub")).alias("own_section"),
-        F.max_by("path", F.struct("block_idx", "sub")).alias("path"),
+        F.max("heads").alias("heads"),
+        F.max("name").alias("name"),  # only a group's first unit has one
         F.array_sort(F.collect_list(F.when(is_text, item))).alias("texts"),
         F.max(F.when(F.col("name").isNotNull(), F.struct("block_idx", F.substring("raw", 1, 60).alias("n")))).alias("last_heading"),
     )
-    # the section a page begins with is the last heading of the pages before
-    heads = g.groupBy("doc_id", "page_num").agg(F.max("last_heading").alias("h"))
+    # by page: its headings, gathered once, of which a group has the first so many as its path, and the heading that the next page begins with
+    heading = F.when(F.col("name").isNotNull(), F.struct("grp", "name"))
+    pages = g.groupBy("doc_id", "page_num").agg(F.max("last_heading").alias("h"), F.array_sort(F.collect_list(heading)).alias("names"))
     default = F.coalesce(F.last(F.col("h.n"), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("page_num").rowsBetween(W.unboundedPreceding, -1)), F.lit(""))
-    g = g.join(heads.select("doc_id", "page_num", default.alias("default")), ["doc_id", "page_num"])
+    path = F.slice(F.col("names.name"), F.lit(1), F.col("heads").cast("int"))
+    g = g.drop("name").join(pages.select("doc_id", "page_num", "names", default.alias("default")), ["doc_id", "page_num"]).withColumn("path", path)
     start = F.when(F.col("kind") == "text", "").otherwise(F.concat("first", F.lit("\n")))
     alone = F.array(F.struct(F.col("first").alias("text"), F.lit("paragraph").alias("level")))
     pieces = F.when(F.col("kind") == "alone", alone).otherwise(folded(start, F.transform("texts", lambda t: t["t"]), limit, overlap))

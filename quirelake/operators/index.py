@@ -2,43 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import keep
+
+Tokenizer = Callable[[Column], Column]
 
 
 @dataclass
 class KeywordIndex:
-    """``postings(term, id, tf)``, ``lengths(id, dl)``, ``terms(term, df, idf)``, ``stats(n, avgdl)`` of a corpus."""
+    """``postings(term, id, tf, dl)``, ``terms(term, df, idf)``, ``stats(n, avgdl)`` of a corpus, and what cuts texts into terms."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
     stats: DataFrame
+    tokenizer: Tokenizer = tokens
+
+
+def keyword_postings(corpus: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
+    """``term``, ``id``, ``tf``, ``dl`` (tokens of the text); every text is cut once."""
+    rows = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokenizer(F.col(text)).alias("ts"))
+    rows = rows.select("id", "ts", F.size("ts").alias("dl"))  # before the rows multiply; an outer explode, as the other one would cut the texts again for its own filter
+    return rows.select("id", "dl", F.explode_outer("ts").alias("term")).where("term is not null").groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-def token_rows(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    return corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term"))
+def weighed(postings: DataFrame, n: DataFrame, tokenizer: Tokenizer = tokens, *, epsilon: float = 0.25, floor: float = 0.1) -> KeywordIndex:
+    """The index over kept or stored ``postings``; ``n`` is one row with the number of texts."""
+    stats = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).crossJoin(F.broadcast(n)).select("n", F.when(F.col("n") > 0, F.col("all") / F.col("n")).otherwise(0.0).alias("avgdl"))  # one row each
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+    raw = keep(raw)
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.greatest(F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")), F.lit(floor)).alias("idf"))  # one row
+    return KeywordIndex(postings, terms, stats, tokenizer)
 
 
-def keyword_index(corpus: DataFrame, key: str, text: str, *, epsilon: float = 0.25, floor: float = 0.1) -> KeywordIndex:
+def keyword_index(corpus: DataFrame, key: str, text: str, *, tokenizer: Tokenizer = tokens, epsilon: float = 0.25, floor: float = 0.1) -> KeywordIndex:
     """Term statistics over the whole corpus.
 
     The idf is ln(n - df + .5) - ln(df + .5); a negative one is replaced by ``epsilon`` times the mean of all,
-    and none is below ``floor``. Texts without tokens count in n and in the mean length.
+    and none is below ``floor``. Texts without tokens count in n and in the mean length. ``tokenizer`` takes a
+    column of texts and gives one of arrays of terms (a segmenter with a dictionary is a pandas UDF of that form).
     """
-    postings = token_rows(corpus, key, text).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    lengths = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.size(tokens(F.col(text))).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.greatest(F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")), F.lit(floor)).alias("idf"))
-    return KeywordIndex(postings, lengths, terms, stats)
+    n = corpus.agg(F.count(text).alias("n"))
+    return weighed(keep(keyword_postings(corpus, key, text, tokenizer)), n, tokenizer, epsilon=epsilon, floor=floor)
 
 
 def ranked(scored: DataFrame, k: int, query: str = "query_id", key: str = "id", score: str = "score") -> DataFrame:
@@ -54,9 +70,9 @@ def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = 10, *, k1:
     Blank queries and queries without a known token have no rows; scores are rounded to 6 digits
     before they are ranked, ties go by id, and no score is 0 or less.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = queries.select("query_id", F.explode(index.tokenizer(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     hits = index.postings if allowed is None else index.postings.join(allowed.select("id").distinct(), "id", "left_semi")
-    hits = asked.join(index.terms, "term").join(hits, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.stats))
+    hits = asked.join(index.terms, "term").join(hits, "term").crossJoin(F.broadcast(index.stats))  # one row
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
@@ -71,23 +87,75 @@ def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
-def vector_search(units: DataFrame, queries: DataFrame, k: int = 10, *, block: int = 64) -> DataFrame:
-    """``query_id``, ``id``, ``score``, ``rank`` by cosine; ``queries`` has query_id and v, both sides scaled.
+#: Query vectors up to so many bytes are sent to every executor; beyond, both sides meet in tiles of so many rows.
+SENT, TILE = 64_000_000, 4096
 
-    A stated query set is held against all rows in blocks: the queries are gathered into rows of
-    ``block`` vectors, the rows of the collection are read once per block and stay where they are.
-    Other lengths than the query's score nothing.
-    """
-    packed = queries.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) % F.greatest(F.lit(1), F.lit(block))).groupBy("slot").agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = units.crossJoin(F.broadcast(packed)) if _small(queries) else units.join(packed)
-    scored = pairs.select("id", "v", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", "v", F.col("q.v").alias("qv")).where(F.size("v") == F.size("qv"))
-    return ranked(scored.select("query_id", "id", F.round(dot, 6).alias("score")), k)
 
+def _near(ids: pa.Array, vectors: pa.Array, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(query numbers, ids, cosines): of these vectors the ``k`` nearest to every query of their length, and all that tie with the last after rounding."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat, offsets = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+    numbers, places, scores = [], [], []
+    for n, (q, x) in asked.items():
+        at = np.flatnonzero(sizes == n)
+        if not len(at):
+            continue
+        u = flat[(offsets[at][:, None] + np.arange(n)).ravel()].reshape(-1, n)
+        for first in range(0, len(x), 1024):
+            cosine = x[first : first + 1024] @ u.T
+            last = np.partition(cosine, len(at) - k, 1)[:, len(at) - k] if len(at) > k else np.full(len(cosine), -np.inf)
+            row, col = np.nonzero(cosine >= last[:, None] - 2e-6)
+            numbers.append(q[first + row])
+            places.append(at[col])
+            scores.append(cosine[row, col])
+    cat = lambda v, kind: np.concatenate(v) if v else np.zeros(0, dtype=kind)
+    return cat(numbers, np.int64), ids.take(pa.array(cat(places, np.int64))), cat(scores, np.float64)
 
-def _small(queries: DataFrame, limit: int = 200_000) -> bool:
-    """Whether a query set is small enough to be sent to every executor."""
-    return queries.limit(limit + 1).count() <= limit
+
+def _by_length(numbers: np.ndarray, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    sizes = np.array([len(v) for v in vectors])
+    return {int(n): (numbers[sizes == n], np.array([v for v in vectors if len(v) == n], dtype=np.float64)) for n in np.unique(sizes)}
+
+
+def vector_search(units: DataFrame, queries: DataFrame, k: int = 10, *, sent: int = SENT, tile: int = TILE) -> DataFrame:
+    """``query_id``, ``id``, ``score``, ``rank`` by cosine; ``queries`` has query_id and v, both sides scaled.
+
+    A stated query set is held against all rows in blocks, as matrix products over Arrow batches of which only
+    the ``k`` best of a batch and query come out. Queries of at most ``sent`` bytes are sent to the rows, which stay where they
+    are; a larger set meets the rows tile by tile. Other lengths than the query's score nothing.
+    """
+    kind, asked_kind = dict(units.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    queries = keep(queries.select("query_id", "v"))
+    size = queries.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("n")).first().n * 8
+    if size <= sent:
+        own = queries.toArrow()  # its size was just checked
+        names, vectors = own.column("query_id").combine_chunks(), own.column("v").to_pylist()
+        shared = units.sparkSession.sparkContext.broadcast((names, _by_length(np.arange(len(vectors)), vectors)))
+
+        def work(batches):
+            names, asked = shared.value
+            for b in batches:
+                number, ids, score = _near(b.column(0), b.column(1), asked, k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(number)), ids, pa.array(score)], names=["query_id", "id", "score"])
+
+        scored = units.select("id", "v").mapInArrow(work, f"query_id {asked_kind}, id {kind}, score double")
+    else:
+        many = lambda df: max(1, -(-df.count() // tile))
+        across, down = many(units), many(queries)
+        place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        rows = units.select(place("id", across).alias("m"), each(down).alias("q"), F.col("id"), F.lit(None).cast(asked_kind).alias("query_id"), "v")
+        asking = queries.select(each(across).alias("m"), place("query_id", down).alias("q"), F.lit(None).cast(kind).alias("id"), "query_id", "v")
+
+        def meet(t: pa.Table) -> pa.Table:
+            t = t.combine_chunks()
+            one = lambda t, c: pa.concat_arrays(t.column(c).chunks) if t.num_rows else pa.array([], t.schema.field(c).type)
+            kept, asks = t.filter(pc.is_valid(t.column("id"))), t.filter(pc.is_valid(t.column("query_id")))
+            number, ids, score = _near(one(kept, "id"), one(kept, "v"), _by_length(np.arange(asks.num_rows), asks.column("v").to_pylist()), k)
+            return pa.table({"query_id": one(asks, "query_id").take(pa.array(number)), "id": ids, "score": pa.array(score)})
+
+        scored = rows.unionByName(asking).groupBy("m", "q").applyInArrow(meet, f"query_id {asked_kind}, id {kind}, score double")
+    return ranked(scored.select("query_id", "id", F.round("score", 6).alias("score")), k)
 
 
 def fused(first: DataFrame, second: DataFrame, k: int = 10, *, constant: int = 60) -> DataFrame:
@@ -102,6 +170,28 @@ def upserted(index: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return index.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
 
 
-def without_source(index: DataFrame, source: str, name: str) -> DataFrame:
+def without_source(index: DataFrame, source: str, name: str | Column) -> DataFrame:
     """``index`` without the rows of one source; rows without a source stay."""
     return index.where(F.coalesce(F.col(source) != name, F.lit(True)))
+
+
+def removed_count(index: DataFrame, source: str, name: str | Column) -> DataFrame:
+    """One row: how many rows ``without_source`` takes away, and how many stay."""
+    gone = F.coalesce(F.col(source) == name, F.lit(False))
+    return index.agg(F.count_if(gone).alias("removed"), F.count_if(~gone).alias("kept"))
+
+
+def collection_size(index: DataFrame) -> DataFrame:
+    """One row: the exact number of rows."""
+    return index.agg(F.count("*").alias("rows"))
+
+
+def open_collection(spark: SparkSession, path: str, dim: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """The vector collection at ``path``, made empty if there is none; an error if it holds vectors of another length than ``dim``."""
+    schema = f"{key} string, source_file string, {vector} array<float>"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    held = spark.read.schema(schema).parquet(path)
+    other = held.where(F.size(vector) != dim).select(F.size(vector).alias("n")).first()
+    if other is not None:
+        raise ValueError(f"the collection holds vectors of {other.n} values, not {dim}")
+    return held

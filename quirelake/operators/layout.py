@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import rfind, strip
 
 #: Label of a layout model to category; any other label is text.
 CATEGORIES = {
@@ -15,7 +15,10 @@ CATEGORIES = {
 }
 HEADINGS = ("title", "section_heading", "heading", "h1", "h2", "h3")
 #: Paragraph style to block type.
-STYLES = {"Heading 1": "title", "Title": "title", "1": "title"} | dict.fromkeys(("Heading 2", "Heading 3", "Heading 4", "Heading 5", "Heading 6", "Subtitle", "2", "3"), "section_heading")
+STYLES = {
+    "Heading 1": "title", "Title": "title", "1": "title", "Heading 2": "section_heading", "Heading 3": "section_heading", "Heading 4": "section_heading", "Heading 5": "section_heading", "Heading 6": "section_heading",
+    "Subtitle": "section_heading", "2": "section_heading", "3": "section_heading",
+}
 NUMBERED_HEADING = r"^(第[一二三四五六七八九十百\d]+[章节]|\d+(\.\d+)+|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十\d]+[）)]|.{1,8}题$)"
 
 
@@ -25,10 +28,10 @@ def category(label: Column) -> Column:
 
 def block_class(size: Column, text: Column) -> Column:
     """The class of a block by the prefix of a caption, else by the font size of its lines."""
-    low = F.lower(text)
+    low = F.lower(strip(text))
     return (
-        F.when(F.startswith(low, F.lit("table ")) | F.startswith(text, F.lit("表 ")), "table_caption")
-        .when(F.startswith(low, F.lit("figure ")) | F.startswith(text, F.lit("图 ")), "figure_caption")
+        F.when(F.startswith(low, F.lit("table ")) | F.startswith(low, F.lit("表 ")), "table_caption")
+        .when(F.startswith(low, F.lit("figure ")) | F.startswith(low, F.lit("图 ")), "figure_caption")
         .when(size >= 18, "title")
         .when(size >= 12, "section_heading")
         .otherwise("text")
@@ -41,22 +44,68 @@ def styled_type(style: Column, size: Column, text: Column) -> Column:
     return F.coalesce(named, F.when(size >= 18, "title").when(size >= 14, "section_heading"), F.when((F.length(text) <= 60) & text.rlike(NUMBERED_HEADING), "section_heading"), F.lit("text"))
 
 
-def two_columns(boxes: DataFrame, width: float = 595.0) -> DataFrame:
-    """``doc_id``, ``page_num``, ``two_columns``: at least three text boxes, a quarter of them on each side of the middle gap."""
-    mid, gap = width / 2, 0.08 * width
-    text = boxes.where("bbox is not null")
-    n, left, right = F.count("*"), F.count_if(F.col("bbox.x1") <= mid - gap), F.count_if(F.col("bbox.x0") >= mid + gap)
-    return text.groupBy("doc_id", "page_num").agg(((n >= 3) & (left / n >= 0.25) & (right / n >= 0.25)).alias("two_columns"))
+PAGE_WIDTH = 595.0
+
+
+def _halves(width: Column) -> tuple[Column, Column]:
+    """The ends of the gap in the middle of a page."""
+    return width / 2 - 0.08 * width, width / 2 + 0.08 * width
+
+
+def two_columns(boxes: DataFrame) -> DataFrame:
+    """``doc_id``, ``page_num``, ``two_columns``: of the text boxes beside the page's middle gap, at least three, a quarter or more stand on either side.
+
+    ``boxes`` has doc_id, page_num, bbox, width (of the page; null is 595) and image; images and rows without a box don't count, a page of width 0 has one column.
+    """
+    width = F.coalesce("width", F.lit(PAGE_WIDTH))
+    low, high = _halves(width)
+    on_left = F.col("bbox.x1") <= low
+    text = ~F.col("image") & F.col("bbox").isNotNull() & (width != 0)
+    left, right = F.count_if(text & on_left), F.count_if(text & ~on_left & (F.col("bbox.x0") >= high))
+    return boxes.groupBy("doc_id", "page_num").agg(((left + right >= 3) & (4 * left >= left + right) & (4 * right >= left + right)).alias("two_columns"))
+
 
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """``order`` from 0: by the upper edge; on pages of two columns, of equal edges what isn't in the right column first; then as given.
 
-def reading_order(boxes: DataFrame, width: float = 595.0) -> DataFrame:
-    """``order`` from 0: by the upper edge; on pages of two columns, of equal edges the left box first; then as given."""
-    side = F.when(F.col("two_columns"), (F.col("bbox.x0") >= width / 2).cast("int")).otherwise(0)
+    ``boxes`` as for ``two_columns``, with block_idx and block_id. In the right column is text that starts beyond the gap; images never are.
+    """
+    low, high = _halves(F.coalesce("width", F.lit(PAGE_WIDTH)))
+    right = F.col("two_columns") & ~F.col("image") & ~(F.col("bbox.x1") < low) & (F.col("bbox.x0") > high)
     line = W.partitionBy("doc_id", "page_num").orderBy("bbox.y0", "side", "block_idx", "block_id")
-    rows = boxes.where("bbox is not null").join(two_columns(boxes, width), ["doc_id", "page_num"]).withColumn("side", side)
+    rows = boxes.where("bbox is not null").join(two_columns(boxes), ["doc_id", "page_num"]).withColumn("side", right.cast("int"))
     return rows.withColumn("order", (F.row_number().over(line) - 1).cast("int"))
 
 
+def raw_elements(pages: DataFrame) -> DataFrame:
+    """Layout elements of pages in the dictionary form of PDF text extraction, without any model: doc_id, page_num, element_idx, category, confidence, text, bbox.
+
+    Lines without text don't count; a line's size is its first span's, 11 where none is given, a block's the largest. Blocks without text are left out,
+    images are figures. ``element_idx`` is the reading order.
+    """
+    spans = lambda line: F.coalesce(line["spans"], F.array())
+    line = lambda x: F.struct(F.array_join(F.transform(spans(x), lambda s: F.coalesce(s["text"], F.lit(""))), "").alias("t"), F.coalesce(F.get(spans(x), F.lit(0))["size"], F.lit(11.0)).alias("size"))
+    rows = pages.select("doc_id", "page_num", "width", F.posexplode("blocks").alias("block_idx", "b")).withColumn("image", F.coalesce(F.col("b.type"), F.lit(0)) == 1)
+    rows = rows.withColumn("lines", F.filter(F.transform(F.coalesce("b.lines", F.array()), line), lambda x: strip(x["t"]) != "")).where(F.col("image") | (F.size("lines") > 0))
+    box = F.struct(*[F.coalesce(F.get("b.bbox", F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    text = F.array_join(F.transform("lines", lambda x: x["t"]), "")
+    rows = rows.withColumn("bbox", box).withColumn("text", F.when(F.col("image"), "").otherwise(text)).withColumn("size", F.array_max(F.transform("lines", lambda x: x["size"])))
+    rows = rows.withColumn("block_id", F.lit("")).withColumn("category", F.when(F.col("image"), "figure").otherwise(block_class(F.col("size"), F.col("text"))))
+    return reading_order(rows).select("doc_id", "page_num", F.col("order").alias("element_idx"), "category", F.when(F.col("image"), 0.9).otherwise(0.85).alias("confidence"), strip(F.col("text")).alias("text"), "bbox")
+
+
+def analysed(model: DataFrame, raw: DataFrame, word: DataFrame) -> DataFrame:
+    """The elements of each page from the first source that has any: a layout model's, those of the raw text dictionary, those of word-processor blocks."""
+    names = ("doc_id", "page_num", "element_idx", "category", "confidence", "text", "bbox")
+    out, seen = None, None
+    for source, df in (("model", model), ("raw", raw), ("word", word)):
+        rows = df.select(*names, F.lit(source).alias("source"))
+        rows = rows if seen is None else rows.join(seen, ["doc_id", "page_num"], "left_anti")
+        own = rows.select("doc_id", "page_num").distinct()
+        out, seen = (rows, own) if out is None else (out.unionByName(rows), seen.unionByName(own))
+    return out
+
+
 def layout_tree(elements: DataFrame) -> DataFrame:
     """``parent_idx`` of each element: the nearest heading before it, null for headings and for what stands before the first.
 
@@ -74,6 +123,11 @@ def tree_lines(tree: DataFrame) -> DataFrame:
     return tree.select("doc_id", "element_idx", F.concat(F.repeat(F.lit("  "), depth), F.lit("["), F.coalesce("category", F.lit("")), F.lit("] "), F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("line"))
 
 
+def tree_paths(tree: DataFrame) -> DataFrame:
+    """``doc_id``, ``element_idx``, ``path``: each node's own label; the root's is the word root."""
+    return tree.select("doc_id", "element_idx", F.array(F.coalesce("category", F.lit(""))).alias("path"))
+
+
 def tree_sizes(tree: DataFrame) -> DataFrame:
     return tree.where("parent_idx is not null").groupBy("doc_id", "parent_idx").agg(F.count("*").alias("children"))
 
@@ -125,24 +179,53 @@ def page_confidence(text: Column) -> Column:
     return F.least(F.lit(0.95), 0.5 + F.length(text) / 2000)
 
 
+def _unfenced(text: Column) -> Column:
+    """A recogniser's answer without the line of its opening and of its closing code fence."""
+    fence, out = F.lit("```"), strip(text)
+    out = F.when(F.startswith(out, fence), F.when(F.contains(out, F.lit("\n")), F.substring(out, F.locate("\n", out) + 1, F.length(out))).otherwise(F.substring(out, F.lit(4), F.length(out)))).otherwise(out)
+    tail = F.when(F.contains(out, F.lit("\n")), F.substring(out, F.lit(1), rfind(out, "\n"))).otherwise(F.substring(out, F.lit(1), F.greatest(F.length(out) - 3, F.lit(0))))
+    return F.when(F.endswith(out, fence), tail).otherwise(out)
+
+
 def cleaned_formula(text: Column) -> Column:
-    """A recognised formula without code fences."""
-    return strip(F.regexp_replace(text, r"```[a-z]*", ""))
+    """A recognised formula without the code fences around it; what stands inside stays. Null is empty."""
+    out = _unfenced(F.coalesce(text, F.lit("")))
+    return F.when(out == "``````", "").otherwise(strip(out))
 
 
 def formula_confidence(text: Column) -> Column:
-    return F.when(F.startswith(cleaned_formula(text), F.lit("$$")), 0.85).otherwise(0.7)
+    """0.85 for an answer that begins as displayed mathematics, 0.7 for another one, 0 for none."""
+    out = _unfenced(F.coalesce(text, F.lit("")))
+    return F.when(out.isin("", "``````"), 0.0).when(F.startswith(out, F.lit("$$")), 0.85).otherwise(0.7)
+
+
+def wrapped_formula(latex: Column) -> Column:
+    """A model's LaTeX as displayed mathematics and its confidence: struct(latex, confidence); empty and 0 for nothing."""
+    body = strip(F.coalesce(latex, F.lit("")))
+    wrapped = F.when(F.startswith(body, F.lit("$$")), body).otherwise(F.concat(F.lit("$$"), body, F.lit("$$")))
+    return F.struct(F.when(body == "", "").otherwise(wrapped).alias("latex"), F.when(body == "", 0.0).otherwise(0.85).alias("confidence"))
+
+
+#: How image files begin.
+MAGIC = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "474946383761": "image/gif", "474946383961": "image/gif", "424D": "image/bmp"}
 
 
 def mime_type(head: Column) -> Column:
     """The type of an image by its first bytes; PNG, if they are none of the known."""
     h = F.hex(F.substring(head, 1, 8))
-    return F.when(F.startswith(h, F.lit("FFD8")), "image/jpeg").when(F.startswith(h, F.lit("47494638")), "image/gif").when(F.startswith(h, F.lit("424D")), "image/bmp").otherwise("image/png")
+    return F.coalesce(*[F.when(F.startswith(h, F.lit(m)), kind) for m, kind in MAGIC.items()], F.lit("image/png"))
 
 
 def image_scale(width: Column, least: int = 600) -> Column:
-    """By how much a formula's image is enlarged."""
-    return F.when(width < least, F.greatest(F.lit(2), F.floor(least / width) + 1)).otherwise(1).cast("int")
+    """By how much a formula's image is enlarged; a width below 1 counts as 1."""
+    return F.when(width < least, F.greatest(F.lit(2), F.floor(least / F.greatest(width, F.lit(1))) + 1)).otherwise(1).cast("int")
+
+
+def capped_size(width: Column, height: Column, most: int = 1024) -> Column:
+    """The size of an image after its longest edge is brought down to ``most``: struct(width, height)."""
+    longest = F.greatest(width, height)
+    scale = F.when(longest > most, most / longest).otherwise(1.0)
+    return F.struct(F.floor(width * scale).cast("int").alias("width"), F.floor(height * scale).cast("int").alias("height"))
 
 
 def layout_elements(blocks: DataFrame) -> DataFrame:

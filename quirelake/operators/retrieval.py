@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, rfind, token_estimate
-from .index import ranked
+from .index import fused, ranked
 
 RERANK_POOL = 10
 #: Function words that carry no meaning for expansion.
@@ -45,14 +47,30 @@ def lexical_score(query: Column, content: Column) -> Column:
     return 1 / (1 + F.exp(-(4 * share - 2)))
 
 
-def reranked(candidates: DataFrame, queries: DataFrame, k: int = 10, pool: int = RERANK_POOL) -> DataFrame:
-    """The ``pool`` best candidates (query_id, id, rank, content) by lexical score, ties by the rank before; never more than ``pool``."""
+def reranked(candidates: DataFrame, queries: DataFrame, k: int = 10, pool: int = RERANK_POOL, scorer: Callable[[Column, Column], Column] | None = lexical_score) -> DataFrame:
+    """The ``pool`` best candidates (query_id, id, rank, content) by ``scorer(query, content)``, ties by the rank before; never more than ``pool``.
+
+    A candidate that the scorer gives null comes after all scored ones. Without a scorer the candidates keep their order and scores and aren't cut to the pool.
+    """
+    if scorer is None:
+        return candidates.where(F.col("rank") <= k)
     joined = candidates.where(F.col("rank") <= pool).withColumnRenamed("rank", "before").join(queries.select("query_id", F.col("query").alias("q")), "query_id")
-    scored = joined.withColumn("score", F.round(lexical_score(F.col("q"), F.col("content")), 6)).drop("q")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "before")
+    scored = joined.withColumn("score", F.round(scorer(F.col("q"), F.col("content")), 6)).drop("q")
+    order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "before")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def retrieve(first: DataFrame | None, second: DataFrame | None, contents: DataFrame, queries: DataFrame, k: int = 10, scorer: Callable[[Column, Column], Column] | None = lexical_score) -> DataFrame:
+    """From two rankings (query_id, id, rank) to the reranked results with content and metadata; a search that failed is None: one alone is fused with nothing, none gives no rows."""
+    known = first if first is not None else second
+    if known is None:
+        none = F.lit(None).cast(dict(queries.dtypes)["query_id"])
+        return contents.limit(0).select(none.alias("query_id"), "*", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    nothing = known.limit(0)
+    both = fused(first if first is not None else nothing, second if second is not None else nothing, 30)
+    return reranked(both.select("query_id", "id", "score", "rank").join(contents, "id"), queries, k, scorer=scorer)
+
+
 def context_header(m: str = "metadata") -> Column:
     section = F.when(F.coalesce(F.col(f"{m}.section"), F.lit("")) != "", F.concat(F.lit(" | §"), F.col(f"{m}.section"))).otherwise("")
     return F.concat(F.lit("[来源: "), F.coalesce(f"{m}.source_file", F.lit("")), F.lit(" | 第"), F.coalesce(F.col(f"{m}.page_num").cast("string"), F.lit("0")), F.lit("页"), section, F.lit(" | 类型: "), F.coalesce(f"{m}.chunk_type", F.lit("text")), F.lit("]"))
@@ -99,6 +117,12 @@ def citation(m: str = "metadata") -> Column:
     return F.concat_ws(" | ", F.concat(F.lit("📄 "), F.col(f"{m}.source_file")), F.concat(F.lit("📍 第"), F.col(f"{m}.page_num").cast("string"), F.lit("页")), section)
 
 
+def citation_rows(packed: DataFrame) -> DataFrame:
+    """``query_id``, ``idx``, and of every packed result with metadata its source and the whole content."""
+    m = lambda c: F.col(f"metadata.{c}").alias(c)
+    return packed.where("metadata is not null").select("query_id", F.col("rank").alias("idx"), m("source_file"), m("page_num"), m("section"), m("chunk_type"), F.col("content").alias("text"))
+
+
 def query_confidence(results: DataFrame, weight_score: float = 0.6, weight_count: float = 0.4) -> DataFrame:
     """``query_id``, ``confidence``: of the best score and of how many of ten results there are."""
     return results.groupBy("query_id").agg(F.round(weight_score * F.max("score") + weight_count * F.least(F.count("*") / 10, F.lit(1.0)), 4).alias("confidence"))

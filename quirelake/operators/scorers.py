@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import content_key, tokens
 from .layout import category, touching
 
 Scorer = Callable[..., Column]
@@ -92,6 +93,46 @@ def rewritten(queries: DataFrame, cache: DataFrame, rewriter: Scorer | None = No
     return queries.join(known.select("query", search.alias("search")), "query").select("query_id", "search")
 
 
+def hashing_encoder(dim: int = 64) -> Scorer:
+    """A deterministic stand-in for an encoder, in expressions: each distinct token adds +1 or -1 to one of ``dim`` places, scaled to length 1; no tokens, all zero."""
+
+    def encode(text: Column) -> Column:
+        words = F.array_distinct(tokens(F.coalesce(text, F.lit(""))))
+        hashes = F.transform(words, lambda w: F.xxhash64(w))
+        raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.when(F.pmod(h, F.lit(dim)) == k, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+    return encode
+
+
+def encoded(rows: DataFrame, text: str, cache: DataFrame, encoder: Scorer, dim: int) -> DataFrame:
+    """``rows`` with ``embedding``: the cached vector of the text's key if it has ``dim`` values, else the encoder's; each missing text is encoded once.
+
+    ``cache``: key, embedding. Null texts have no vector.
+    """
+    keyed = rows.withColumn("_key", content_key(F.col(text)))
+    good = cache.where(F.size("embedding") == dim).groupBy("key").agg(F.min("embedding").alias("cached"))
+    known = keyed.where(F.col(text).isNotNull()).groupBy("_key").agg(F.min(text).alias("_text")).join(good, F.col("_key") == F.col("key"), "left")
+    vectors = known.where("cached is not null").select("_key", F.col("cached").alias("embedding")).unionByName(known.where("cached is null").select("_key", encoder(F.col("_text")).alias("embedding")))
+    return keyed.join(vectors, "_key", "left").drop("_key")
+
+
+def cached_answers(prompts: DataFrame, cache: DataFrame, generator: Scorer | None, *, tries: int = 3, fallback: str = "no answer") -> DataFrame:
+    """``key``, ``answer``, ``store``: the cached answer of each prompt (key, prompt), else the generator's, asked up to ``tries`` times while it is blank.
+
+    Without a generator, or when all tries are blank, the answer is ``fallback``. Only new answers that aren't blank are to be stored.
+    A generator that fails must give null; it is called as a column, so a pandas UDF waits between its own tries.
+    """
+    have = prompts.join(cache.select("key", F.col("value").alias("cached")), "key", "left")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    new = F.lit(None).cast("string")
+    for _ in range(tries if generator else 0):
+        new = F.when(blank(new), generator(F.col("prompt"))).otherwise(new)
+    rows = have.withColumn("new", F.when(F.col("cached").isNull(), new))
+    return rows.select("key", F.coalesce("cached", F.when(~blank(F.col("new")), F.col("new")), F.lit(fallback)).alias("answer"), (F.col("cached").isNull() & ~blank(F.col("new"))).alias("store"))
+
+
 TEMPLATES = {"qa": "Context:\n{context}\n\nQuestion: {query}\n\nAnswer:", "rewrite": "Question: {query}\nRewritten for search:"}
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextvars
 import functools
+import shutil
 import tempfile
+import weakref
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -31,12 +35,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may go without: it gets a temporary one, gone when Python ends."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quirelake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quirelake-"))
-    return folder or sc.getCheckpointDir()
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -45,30 +54,59 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` kept on the executors' disks for a second read; what is lost with an executor is computed again."""
-    _kept.append(df.persist(StorageLevel.DISK_ONLY))
-    return _kept[-1]
+class _Run:
+    """What the running query keeps, and what it has made once already."""
+
+    def __init__(self) -> None:
+        self.kept: list[DataFrame] = []
+        self.made: dict = {}
 
 
-_kept: list[DataFrame] = []
+_run: contextvars.ContextVar[_Run | None] = contextvars.ContextVar("run", default=None)
 
 
-def release() -> None:
-    """Frees what earlier queries kept. A result not read yet stays right: it computes again what it needs."""
-    while _kept:
-        df = _kept.pop()
-        if df.sparkSession.sparkContext._jsc is not None:
-            df.unpersist()
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks for a second read; what is lost with an executor is computed again. It lives as long as the running query's result."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    own = _run.get()
+    if own is not None:
+        own.kept.append(df)
+    return df
+
+
+def once(name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, kept; made once in a running query however often it is asked for."""
+    own = _run.get()
+    if own is None:
+        return make()
+    if name not in own.made:
+        own.made[name] = keep(make())
+    return own.made[name]
+
+
+def _free(kept: list[DataFrame]) -> None:
+    while kept:
+        df = kept.pop()
+        try:
+            if df.sparkSession.sparkContext._jsc is not None:
+                df.unpersist()
+        except Exception:  # noqa: BLE001 - the session has ended, and what it kept with it
+            return
 
 
 def on_its_own(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """The query ``f``, after what earlier queries kept is freed."""
+    """The query ``f``; what it keeps is freed when its result is dropped. Frames derived from the result stay right: they compute again what they need."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, folder: str, *args) -> DataFrame:
-        release()
-        return f(spark, folder, *args)
+        own = _Run()
+        token = _run.set(own)
+        try:
+            out = f(spark, folder, *args)
+        finally:
+            _run.reset(token)
+        weakref.finalize(out, _free, own.kept).atexit = False
+        return out
 
     return run
 

@@ -128,5 +128,5 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
             rows = [r for doc, data in zip(f["doc_id"], f["content"], strict=True) for r in docx_rows(doc, bytes(data))]
             yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,doc}").load(path)
     return files.select(F.regexp_extract("path", r"([^/_.]+)[^/]*$", 1).alias("doc_id"), "content").mapInPandas(work, BLOCKS)

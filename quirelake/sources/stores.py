@@ -29,6 +29,25 @@ def save_index(postings: DataFrame, path: str, buckets: int = 16) -> None:
     postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("part").parquet(path)
 
 
+def load_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 16) -> DataFrame:
+    """Stored postings; with ``terms``, only the parts that hold them are read."""
+    rows = spark.read.parquet(path)
+    if terms is not None:
+        parts = {r.part for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("part")).collect()}  # of the terms given
+        rows = rows.where(F.col("part").isin(sorted(parts)) & F.col("term").isin(terms))
+    return rows.drop("part")
+
+
+def clear_index(spark: SparkSession, path: str) -> None:
+    """An index without postings in place of what was there."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
+def landed_name(task_id: Column, filename: Column) -> Column:
+    """The name under which an uploaded file is stored, which is its source everywhere."""
+    return F.concat(task_id, F.lit("_"), filename)
+
+
 def cache_entries(rows: DataFrame, kind: str, key: Column, value: Column, now: Column | None = None) -> DataFrame:
     """``ns``, ``key``, ``value``, ``expires_at`` of new entries; an unknown kind is an error, later rows of a key win by value."""
     if kind not in LIFETIMES:

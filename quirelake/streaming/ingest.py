@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators.index import Tokenizer, keyword_postings
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 2) -> DataFrame:
@@ -13,12 +14,11 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def index_stream(stream: DataFrame, key: str, text: str, target: str, checkpoint: str):
-    """Appends the postings (term, id, tf) of every micro-batch to ``target``; a batch that comes twice replaces itself."""
+def index_stream(stream: DataFrame, key: str, text: str, target: str, checkpoint: str, tokenizer: Tokenizer = tokens):
+    """Appends the postings (term, id, tf, dl) of every micro-batch to ``target``; a batch that comes twice replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.where(F.col(text).isNotNull()).dropDuplicates([key]).select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term"))
-        rows.groupBy("term", "id").agg(F.count("*").alias("tf")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        keyword_postings(batch.dropDuplicates([key]), key, text, tokenizer).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

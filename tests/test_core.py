@@ -280,7 +280,7 @@ def test_stream_equals_batch(spark, data, tmp_path):
     docs.repartition(5).write.parquet(str(tmp_path / "in"))
     q = ingest.index_stream(ingest.file_stream(spark, str(tmp_path / "in"), docs.schema), "doc_id", "text", str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out")).select("term", "id", "tf")
+    got = spark.read.parquet(str(tmp_path / "out")).select("term", "id", "tf", "dl")
     want = index.keyword_index(docs.dropDuplicates(["doc_id"]), "doc_id", "text").postings
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
@@ -318,3 +318,82 @@ def test_stores(spark, tmp_path):
     assert left.count() == 2
     with pytest.raises(ValueError):
         stores.cache_entries(e, "nope", F.col("seq"), F.col("action"))
+
+
+def test_vector_search_in_tiles(spark):
+    """Tiles, sent queries and a plain product give the same rows, ties and other lengths included."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.standard_normal((150, 6)).round(1)
+    x[10:30] = x[9]
+    rows = [(f"i{k:03d}", [float(c) for c in v]) for k, v in enumerate(x)] + [("short", [1.0, 0.0]), ("zero", [0.0] * 6), ("null", None)]
+    u = index.unit_vectors(spark.createDataFrame(rows, "k string, e array<float>"), "k", "e")
+    q = u.where("id < 'i050' or id = 'short'").withColumnRenamed("id", "query_id")
+    sent = {(a.query_id, a["rank"]): (a.id, a.score) for a in index.vector_search(u, q, 5).collect()}
+    tiled = {(a.query_id, a["rank"]): (a.id, a.score) for a in index.vector_search(u, q, 5, sent=0, tile=16).collect()}
+    assert sent == tiled and len(sent) == 5 * 50 + 1 and sent["short", 1] == ("short", 1.0)
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if v and any(v) and len(v) == 6}
+    unit = {k: (np.float32(dict(rows)[k]).astype(float)) / np.linalg.norm(np.float32(dict(rows)[k]).astype(float)) for k in unit}
+    for k in ("i000", "i009", "i049"):
+        best = sorted(unit, key=lambda o: (-round(float(unit[k] @ unit[o]), 6), o))[:5]
+        assert [sent[k, n][0] for n in range(1, 6)] == best
+    assert index.vector_search(u.limit(0), q, 5).count() == 0 == index.vector_search(u, q.limit(0), 5).count()
+
+
+def test_tokenizer_is_pluggable(spark):
+    docs = spark.createDataFrame([(1, "a,b"), (2, "b,b"), (3, "")], "id int, text string")
+    made = index.keyword_index(docs, "id", "text", tokenizer=lambda c: F.filter(F.split(c, ","), lambda w: w != ""))
+    assert {(r.term, r.df) for r in made.terms.collect()} == {("a", 1), ("b", 2)} and made.stats.first().avgdl == 4 / 3
+    got = index.keyword_search(made, spark.createDataFrame([(7, "a,a")], "query_id int, query string")).collect()
+    assert [(r.query_id, r.id) for r in got] == [(7, 1)]
+
+
+def test_hashing_encoder(spark):
+    from quirelake.operators import scorers
+
+    got = [r.v for r in spark.createDataFrame([("one two",), ("two one",), ("",), (None,), ("three",)], "t string").select(scorers.hashing_encoder(16)(F.col("t")).alias("v")).collect()]
+    assert got[0] == got[1] and abs(sum(x * x for x in got[0]) - 1) < 1e-5 and set(got[2]) == set(got[3]) == {0.0} and len(got[4]) == 16
+
+
+def test_generator_is_asked_again(spark):
+    from quirelake.operators import scorers
+
+    p = spark.createDataFrame([("a", "x"), ("b", " ")], "key string, prompt string")
+    none = spark.createDataFrame([], "key string, value string")
+    assert {(r.key, r.answer, r.store) for r in scorers.cached_answers(p, none, None).collect()} == {("a", "no answer", False), ("b", "no answer", False)}
+    assert {(r.key, r.answer, r.store) for r in scorers.cached_answers(p, none, lambda c: c).collect()} == {("a", "x", True), ("b", "no answer", False)}
+
+
+def test_collection(spark, tmp_path):
+    path = str(tmp_path / "v")
+    assert index.open_collection(spark, path, 2).count() == 0
+    spark.createDataFrame([("c", "f", [1.0, 2.0])], "chunk_id string, source_file string, embedding array<float>").write.mode("append").parquet(path)
+    assert index.open_collection(spark, path, 2).count() == 1
+    with pytest.raises(ValueError, match="not 3"):
+        index.open_collection(spark, path, 3)
+
+
+def test_stored_index(spark, tmp_path):
+    from quirelake.sources import stores
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "id int, text string")
+    made, path = index.keyword_postings(docs, "id", "text"), str(tmp_path / "p")
+    stores.save_index(made, path)
+    assert stores.load_index(spark, path).exceptAll(made).count() == 0
+    assert {(r.term, r.id) for r in stores.load_index(spark, path, ["b"]).collect()} == {("b", 1), ("b", 2)}
+    stores.clear_index(spark, path)
+    assert stores.load_index(spark, path).count() == 0
+    assert spark.range(1).select(stores.landed_name(F.lit("0a"), F.lit("x.pdf")).alias("n")).first().n == "0a_x.pdf"
+
+
+def test_failed_searches(spark):
+    q = spark.createDataFrame([("q", "word")], "query_id string, query string")
+    c = spark.createDataFrame([("c", "a word", None)], "id string, content string, metadata string")
+    one = spark.createDataFrame([("q", "c", 1)], "query_id string, id string, rank int")
+    from quirelake.operators import retrieval
+
+    assert retrieval.retrieve(None, None, c, q).count() == 0
+    assert [(r.id, r["rank"]) for r in retrieval.retrieve(None, one, c, q).collect()] == [("c", 1)]
+    got = retrieval.retrieve(one, None, c, q, scorer=lambda q, t: F.lit(None).cast("double")).first()
+    assert got["rank"] == 1 and got.score is None
