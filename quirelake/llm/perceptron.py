@@ -20,12 +20,18 @@ class Perceptron:
         self.w = np.zeros(SLOTS) if weights is None else weights
         self._sum, self._seen = np.zeros(SLOTS), 0
 
-    def choose(self, candidates: np.ndarray | list[list[int]]) -> int:
-        if not len(candidates):
-            return 0
+    def best(self, candidates: np.ndarray | list[list[int]]) -> tuple[int, float]:
+        """The best candidate and its score."""
         scores = self.w[np.asarray(candidates)].sum(1)
         k = int(scores.argmax())
-        return k + 1 if scores[k] > 0 else 0
+        return k + 1, float(scores[k])
+
+    def choose(self, candidates: np.ndarray | list[list[int]], bar: float = 0.0) -> int:
+        """The best candidate, if it scores above ``bar``."""
+        if not len(candidates):
+            return 0
+        k, score = self.best(candidates)
+        return k if score > bar else 0
 
     def learn(self, candidates: np.ndarray | list[list[int]], gold: int) -> None:
         """One step: the gold candidate's features gain, the chosen one's lose; the average is kept lazily."""

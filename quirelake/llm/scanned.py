@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.layout import NUMBERED_HEADING
 from ..session import keep
 from .arrow import map_batches
 from .lookalike import look_alikes, skeleton
@@ -136,8 +137,8 @@ def _level(n: int, most: int = 8) -> int:
 class Editor:
     """Finds what was misread and where words were broken; ``fit`` trains it."""
 
-    def __init__(self, counts: np.ndarray, model: Perceptron | None = None):
-        self.counts, self.model, self.known = counts, model or Perceptron(), {}
+    def __init__(self, counts: np.ndarray, model: Perceptron | None = None, bar: float = 0.0):
+        self.counts, self.model, self.known, self.bar = counts, model or Perceptron(), {}, bar
 
     def count(self, kind: str, what: str) -> int:
         return int(self.counts[_slot(kind, what)])
@@ -186,36 +187,41 @@ class Editor:
         out = [f"{soft}{shape}{code}", f"j{min(3, joined)}{soft}", f"o{min(3, own)}{soft}", f"jo{min(3, joined)},{min(3, own)}", f"a{min(4, alone[0])},{min(4, alone[1])},{min(2, joined)},{min(2, own)}", "any"]
         return [slot("j" + f) for f in out]
 
-    def token(self, token: str) -> tuple[int, str, str] | None:
-        """The edit chosen for a token, if any."""
-        if token in self.known:
-            return self.known[token]
+    def token(self, token: str, bar: float = 0.0) -> tuple[int, str, str] | None:
+        """The edit chosen for a token, if any scores above ``bar``."""
+        key = token, bar
+        if key in self.known:
+            return self.known[key]
         got = None
         code = sum(c.isupper() for c in token) > 1 and any(c.isdigit() for c in token)  # of a part or an order
-        if not token.isdigit() and not code and 1 < len(token) <= 40:
+        if not token.isdigit() and not code and len(token) > 1:
             edits = self.edits(token)
             if edits:
-                k = self.model.choose([self.token_features(token, *e) for e in edits])
+                k = self.model.choose([self.token_features(token, *e) for e in edits], bar)
                 got = edits[k - 1] if k else None
         if len(self.known) > 400_000:
             self.known.clear()
-        self.known[token] = got
+        self.known[key] = got
         return got
 
-    def place(self, flat: str, i: int) -> str | None:
+    def place(self, flat: str, i: int, bar: float = 0.0) -> str | None:
         """What was meant by the ideograph at ``i``, if not what was read."""
-        key = flat[max(0, i - 2) : i + 3], min(i, 2)
+        key = flat[max(0, i - 2) : i + 3], min(i, 2), bar
         if key not in self.known:
             options = _SAME[flat[i]]
-            k = self.model.choose([self.place_features(flat, i, m) for m in options])
+            k = self.model.choose([self.place_features(flat, i, m) for m in options], bar)
             self.known[key] = options[k - 1] if k else None
         return self.known[key]
 
     def joins(self, left: str, hyphen: str, right: str) -> bool:
         return bool(self.model.choose([self.join_features(left, hyphen, right)]))
 
-    def work(self, text: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, int, str]]]:
-        """Edits (position, read, meant) of ``text``, and breaks (start, end, what replaces it) at which a word goes on."""
+    def work(self, text: str, recognised: bool = True) -> tuple[list[tuple[int, str, str]], list[tuple[int, int, str]]]:
+        """Edits (position, read, meant) of ``text``, and breaks (start, end, what replaces it) at which a word goes on.
+
+        What no recogniser has read is held to be right unless an edit scores above all that clean words get in training.
+        """
+        bar = 0.0 if recognised else self.bar
         edits, breaks = [], []
         whole: dict[int, tuple[str, int, int]] = {}  # start of a broken word: the word, where its second part starts, how much lies between
         skip: set[int] = set()
@@ -230,7 +236,7 @@ class Editor:
             if at in skip:
                 continue
             word, second, first = whole.get(at, (m[0], 0, len(m[0])))
-            got = self.token(word)
+            got = self.token(word, bar)
             if got:
                 i, read, meant = got
                 edits.append((at + i if i < first else second + i - first, read, meant))
@@ -242,7 +248,7 @@ class Editor:
                 flat = text.replace("\n", "")
                 spots = list(_IDEOGRAPH.finditer(flat))
             for m in spots:
-                meant = self.place(flat, m.start())
+                meant = self.place(flat, m.start(), bar)
                 if meant:
                     edits.append((m.start() if at is None else at[m.start()], m[0], meant))
         return edits, breaks
@@ -310,6 +316,8 @@ class Editor:
             for candidates, gold in steps:
                 self.model.learn(candidates, gold)
         self.model = self.model.averaged()
+        clean = [self.model.best(candidates)[1] for candidates, gold in steps if not gold]
+        self.bar = max([0.0, *clean])
         self.known.clear()
         return self
 
@@ -319,14 +327,14 @@ class Editor:
 _DIGITS = str.maketrans("lIO", "110")
 _NUMBER = regex.compile(r"\p{Nd}+")
 _LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
-TOP, BOTTOM, LINE = 2, 3, 120
+TOP, BOTTOM = 2, 3
 
 
 def edge_lines(df: DataFrame) -> DataFrame:
     """The first and last lines of each page: their place, key (letters only), shape (numbers as #) and first number.
 
     ``df`` has doc_id, page_num, block_idx, block_id, content, block_type, one row per block. Blank
-    lines have no place. Lines over 120 characters are counted but never furniture.
+    lines have no place.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(look_alikes(spark))  # bounded by Unicode's size
@@ -337,7 +345,7 @@ def edge_lines(df: DataFrame) -> DataFrame:
             lines = [(i, s.strip()) for i, s in enumerate((t or "").split("\n"), 1) if s.strip()]
             n, own = len(lines), []
             for k, (no, s) in enumerate(lines):
-                if (k < TOP or k >= n - BOTTOM) and len(s) <= LINE:
+                if k < TOP or k >= n - BOTTOM:
                     form = skeleton(s, table).lower()
                     number = _NUMBER.search(form)
                     own.append({"line_no": no, "k": k, "key": _LETTERS.sub("", form), "shape": _NUMBER.sub("#", form), "number": int(number[0]) if number and len(number[0]) < 7 else None})
@@ -469,7 +477,7 @@ def fitted_editor(blocks: DataFrame, sample: int = SAMPLE) -> Editor:
 
 def _shared_editor(blocks: DataFrame):
     e = fitted_editor(blocks)
-    return blocks.sparkSession.sparkContext.broadcast((e.counts, e.model.w))  # both of fixed size
+    return blocks.sparkSession.sparkContext.broadcast((e.counts, e.model.w, e.bar))  # both of fixed size
 
 
 def noise(blocks: DataFrame) -> DataFrame:
@@ -484,8 +492,8 @@ def noise(blocks: DataFrame) -> DataFrame:
 
     def work(cols: dict, editor: Editor) -> dict:
         out: dict[str, list] = {"block_id": [], "line_no": [], "noise": []}
-        for block, t in zip(cols["block_id"].to_pylist(), cols["content"].to_pylist(), strict=True):
-            edits, breaks = editor.work(t)
+        for block, t, source in zip(*(cols[n].to_pylist() for n in ("block_id", "content", "source")), strict=True):
+            edits, breaks = editor.work(t, source != "")
             found = {(t.count("\n", 0, at) + 1, "misread") for at, _, _ in edits} | {(t.count("\n", 0, a) + 1, "hyphen") for a, _, _ in breaks}
             for no, kind in found:
                 out["block_id"].append(block)
@@ -494,7 +502,7 @@ def noise(blocks: DataFrame) -> DataFrame:
         return out
 
     lines = furniture_lines(paged)
-    others = map_batches(paged.where("source <> ''").select("block_id", "content"), work, "block_id string, line_no int, noise string", setup=lambda: Editor(shared.value[0], Perceptron(shared.value[1])))
+    others = map_batches(paged.select("block_id", "content", "source"), work, "block_id string, line_no int, noise string", setup=lambda: Editor(shared.value[0], Perceptron(shared.value[1]), shared.value[2]))
     return others.join(lines, ["block_id", "line_no"], "left_anti").distinct().unionByName(lines.withColumn("noise", F.lit("furniture")))
 
 
@@ -513,35 +521,45 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     def work(cols: dict, editor: Editor) -> dict:
         out: dict[str, list] = {n: [] for n in ("doc_id", "page_num", "block_idx", "block_id", "paragraph_no", "text")}
         for i, (t, lines, source) in enumerate(zip(*(cols[n].to_pylist() for n in ("content", "gone", "source")), strict=True)):
-            for no, p in enumerate(repaired(t, set(lines or ()), editor if source else None)):
+            for no, p in enumerate(repaired(t, set(lines or ()), editor, source != "")):
                 for n in ("doc_id", "page_num", "block_idx", "block_id"):
                     out[n].append(cols[n][i].as_py())
                 out["paragraph_no"].append(no)
                 out["text"].append(p)
         return out
 
-    return map_batches(paged.join(gone, "block_id", "left").select("doc_id", "page_num", "block_idx", "block_id", "content", "gone", "source"), work, "doc_id string, page_num int, block_idx int, block_id string, paragraph_no int, text string", setup=lambda: Editor(shared.value[0], Perceptron(shared.value[1])))
+    return map_batches(paged.join(gone, "block_id", "left").select("doc_id", "page_num", "block_idx", "block_id", "content", "gone", "source"), work, "doc_id string, page_num int, block_idx int, block_id string, paragraph_no int, text string", setup=lambda: Editor(shared.value[0], Perceptron(shared.value[1]), shared.value[2]))
 
 
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}。、，；：！？）」』”]$")
 
 
-def repaired(text: str, gone: set[int], editor: Editor | None) -> list[str]:
+_HEAD = re.compile(NUMBERED_HEADING)
+_CLOSED = regex.compile(r"[.!?:。！？：…][\p{Pe}\p{Pf}\"”’]*$")
+
+
+def _heading(line: str, before: str) -> bool:
+    """Whether a line that begins a paragraph, or follows a closed one, is a numbered heading."""
+    return len(line) <= 60 and bool(_HEAD.search(line)) and not _CLOSED.search(line) and line[-1] not in ",;，；、" and (not before or bool(_CLOSED.search(before)))
+
+
+def repaired(text: str, gone: set[int], editor: Editor | None, recognised: bool = True) -> list[str]:
     """The paragraphs of a block without the lines ``gone`` and, with an editor, without misread characters and broken words."""
-    lines = ["" if no in gone else line for no, line in enumerate(text.split("\n"), 1)]
-    removed = {no for no in gone if 1 <= no <= len(lines)}
-    body = "\n".join(line for no, line in enumerate(lines, 1) if no not in removed)
+    body = "\n".join(line for no, line in enumerate(text.split("\n"), 1) if no not in gone)
     if editor is not None:
-        edits, breaks = editor.work(body)
+        edits, breaks = editor.work(body, recognised)
         for at, end, to in sorted([(a, a + len(r), m) for a, r, m in edits] + breaks, reverse=True):
             body = body[:at] + to + body[end:]
     out, now = [], ""
     for line in body.split("\n"):
         line = line.strip()
-        if not line or line.startswith("|") or now.startswith("|"):
+        alone = line.startswith("|") or bool(line) and _heading(line, now)
+        if not line or alone or now.startswith("|"):
             if now:
                 out.append(now)
-            now = line
+            now = "" if alone else line
+            if alone:
+                out.append(line)
         elif now:
             now += ("" if _SPACELESS.search(now) else " ") + line
         else:
