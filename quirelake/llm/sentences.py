@@ -1,7 +1,7 @@
 """Problem 5: sentence units with their positions, for every script.
 
 The character properties are Unicode's (UAX #29 sentence terminals, closing punctuation, case);
-on top of them: abbreviations by language that don't end a sentence, quotations that are closed
+on top of them: abbreviations that don't end a sentence, by the language that the text's common words tell, quotations that are closed
 before they count, numbers at the head of an item, and Thai, which marks no ends.
 """
 
@@ -16,14 +16,39 @@ from pyspark.sql import functions as F
 from .arrow import map_batches
 from .lookalike import look_alikes
 
-#: Never the end: titles and what is always followed by a number or a name.
-TITLES = frozenset(
-    "mr mrs ms dr prof eng st sr sra srta dra ing lic m mme mlle hr fr frau herr dipl "  # titles
-    "no nr fig figs sec secs abb art arts pág págs pag abs abschn kap bd chap vol ed eq p pp ch cf vs bzw "  # references
-    "z b d h i e g c a u ex usw vgl s ff डॉ श्री प्रो कु".split()
-)
-#: The end only before a capital or an opening mark: measures and shortened words.
-SHORT = frozenset("approx min max incl inkl ca mind env mín máx aprox etc ltd co inc corp dept est excl exkl resp évt evtl ggf avg temp tel jan feb mar apr jun jul aug sep sept oct nov dec".split())
+#: By language, never the end: titles, and what is always followed by a name or by more of the sentence.
+TITLES = {
+    "en": frozenset("mr mrs ms dr prof eng st sr jr eq cf vs ie eg".split()),
+    "de": frozenset("dr prof ing dipl hr fr st bzw vgl usw abs abschn bd".split()),
+    "fr": frozenset("m mme mlle mm dr prof st ste ing cf env ex".split()),
+    "es": frozenset("sr sra srta dr dra prof ing lic st ud uds".split()),
+    "hi": frozenset("डॉ श्री प्रो कु".split()),
+}
+#: By language, not the end before a number: references.
+REFERENCES = {
+    "en": frozenset("no nos fig figs sec secs art arts pag p pp ch chap vol ed eq".split()),
+    "de": frozenset("nr abb art kap abs bd s vol".split()),
+    "fr": frozenset("no nr fig art arts chap vol p pp pag".split()),
+    "es": frozenset("no núm fig art arts pág págs cap vol p pp sec".split()),
+    "hi": frozenset("सं क्र पृ".split()),
+}
+#: By language, the end only before a capital or an opening mark: measures and shortened words.
+SHORT = {
+    "en": frozenset("approx min max incl etc ltd co inc corp dept est excl avg temp tel jan feb mar apr jun jul aug sep sept oct nov dec".split()),
+    "de": frozenset("max min inkl ca mind etc exkl evtl ggf tel usw jan feb mär apr jun jul aug sep okt nov dez".split()),
+    "fr": frozenset("max min env incl etc évt excl tel janv févr avr juil sept oct nov déc".split()),
+    "es": frozenset("máx mín aprox incl etc excl resp tel ene feb abr ago sept oct nov dic".split()),
+    "hi": frozenset(),
+}
+#: By language, words by which it is known.
+COMMON = {
+    "en": frozenset("the of and to in is has was that for with been".split()),
+    "de": frozenset("der die das und ist wird den von mit nicht wurde bei".split()),
+    "fr": frozenset("le la les des et est une dans par du pour été".split()),
+    "es": frozenset("el la los las y del que una por con ha fue".split()),
+}
+#: What a single letter may name, so that it isn't an initial.
+LABELS = frozenset("plan vitamin class type grade group option appendix annex phase model team zone step level klasse typ gruppe anhang plan classe groupe annexe clase tipo grupo anexo".split())
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 #: Thai: a statement ends after these, and starts with these.
 THAI_ENDS = ("หรือไม่", "ทันที", "แล้ว", "ไหม", "ครับ", "ค่ะ", "นะ")
@@ -37,6 +62,10 @@ _ITEM = regex.compile(r"\s*[(]?\p{N}{1,4}[.．)、]?\s*")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}]+$|[\p{N}.,]+$")
 _THAI_GAP = regex.compile(r"(?<=[฀-๿])[ ]+(?=[฀-๿])")
 _ODD = regex.compile(r"[^\n\x20-\x7e¡-¬®-ſऀ-ॿ฀-๿‘-„…、-ヿ一-鿿！？，：；（）]")
+_WORDS = regex.compile(r"[\p{L}\p{M}]+")
+_WORD_END = regex.compile(r"[\p{L}\p{M}]+(?=\s+$)")
+_NUMBERED = regex.compile(r"\s*(?:[IVXLCDM]+\b|[A-Z]{1,4}[-–]?\d)")
+_DEVANAGARI = regex.compile(r"\p{Devanagari}")
 _CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Devanagari}]")
 
 
@@ -73,8 +102,18 @@ def _starts(rest: str, k: int) -> str:
     return "p"
 
 
-def _abbreviated(line: str, dot: int, nxt: str, gap: bool) -> bool:
-    """Whether the full stop at ``dot`` belongs to what stands before it."""
+def languages(text: str) -> tuple[str, ...]:
+    """The languages whose abbreviations hold for a text: the one with most of its common words in it, Hindi for its script; all of them if nothing tells."""
+    words = _WORDS.findall(text.lower())
+    hits = {k: sum(w in common for w in words) for k, common in COMMON.items()}
+    most = max(hits.values())
+    if not most:
+        return ("hi",) if _DEVANAGARI.search(text) else tuple(TITLES)
+    return tuple(k for k, n in hits.items() if n == most) + (("hi",) if _DEVANAGARI.search(text) else ())
+
+
+def _abbreviated(line: str, dot: int, nxt: str, gap: bool, known: tuple[str, ...]) -> bool:
+    """Whether the full stop at ``dot`` belongs to what stands before it, in a text of the languages ``known``."""
     m = _WORD_BEFORE.search(line, max(0, dot - 24), dot)
     if not m:
         return False
@@ -90,16 +129,19 @@ def _abbreviated(line: str, dot: int, nxt: str, gap: bool) -> bool:
         return bool(follow and follow[1].lower() in MONTHS)
     if nxt in ("U", "E") and (_unit(head) or before in ("°", "/")):
         return False  # a measure, as in "75 mm." or "9 l/min."
-    if low in TITLES:
+    if any(low in TITLES[k] for k in known):
         return True
-    if len(word) == 1 and word.isalpha() and not _CASELESS.match(word):
+    if any(low in REFERENCES[k] for k in known) and (nxt == "D" or nxt == "U" and _NUMBERED.match(line, dot + 1)):
         return True
-    if low in SHORT:
+    if len(word) == 1 and word.isalpha() and not _CASELESS.match(word):
+        named = _WORD_END.search(head)
+        return not (nxt == "U" and word.isupper() and named and named[0].lower() in LABELS)
+    if any(low in SHORT[k] for k in known):
         return nxt != "U"
     if nxt in ("l", "C") and gap and not _CASELESS.match(word):
         return nxt == "l"
-    if _CASELESS.match(word) and regex.search(r"\p{Devanagari}$", word):
-        return len(word) <= 4
+    if _DEVANAGARI.match(word):
+        return len(word) == 1 or nxt == "D" and any(low in REFERENCES[k] for k in known)
     return not gap and nxt not in ("U", "E") or (not gap and nxt == "U" and len(word) < 2)
 
 
@@ -108,7 +150,7 @@ def _unit(head: str) -> bool:
     return bool(regex.search(r"\d\s?$", head))
 
 
-def _line_ends(line: str) -> list[int]:
+def _line_ends(line: str, known: tuple[str, ...]) -> list[int]:
     """Ends of the units of one line without a line break."""
     body = len(line.rstrip())
     if not body or not line.strip():
@@ -153,7 +195,7 @@ def _line_ends(line: str) -> list[int]:
         if mark[-1] in ".．" and set(mark) <= {".", "．"}:
             if _ITEM.fullmatch(line, start, b):
                 continue
-            if end == b and (nxt == "p" or _abbreviated(line, a, nxt, gap)):
+            if end == b and (nxt == "p" or _abbreviated(line, a, nxt, gap, known)):
                 continue
             if end > b and nxt in ("l", "p"):
                 continue
@@ -189,9 +231,9 @@ def sentence_ends(text: str, table: dict[int, str] | None = None) -> list[int]:
     A line break always ends a unit, blank lines have none, and the empty text has none.
     """
     folded, at = _folded(text, table or {})
-    out, base = [], 0
+    out, base, known = [], 0, languages(folded)
     for line in folded.split("\n"):
-        out += [base + e for e in _line_ends(line)]
+        out += [base + e for e in _line_ends(line, known)]
         base += len(line) + 1
     return out if at is None else sorted({at[e - 1] + 1 for e in out})
 

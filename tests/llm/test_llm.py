@@ -278,6 +278,23 @@ def test_sentence_units(spark):
     assert sentences.sentence_units(df.limit(0), "tbl", "id").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "units"),
+    [
+        ("He said no. Then he left.", ["He said no.", "Then he left."]),
+        ("We looked at the art. The guide spoke.", ["We looked at the art.", "The guide spoke."]),
+        ("Plan B failed. We chose plan C. Nothing worked.", ["Plan B failed.", "We chose plan C.", "Nothing worked."]),
+        ("राम गया. वह घर आया.", ["राम गया.", "वह घर आया."]),
+        ("Mr. T. Fidra came to the hall. See Fig. 3, No. 4 and Sec. IV of it.", ["Mr. T. Fidra came to the hall.", "See Fig. 3, No. 4 and Sec. IV of it."]),
+        ("Das ist die Nr. HL-3516 und die Abb. 3, z. B. hier. Gut.", ["Das ist die Nr. HL-3516 und die Abb. 3, z. B. hier.", "Gut."]),
+        ("Selon M. Durand, p. ex. 3 m de fuite. Fin.", ["Selon M. Durand, p. ex. 3 m de fuite.", "Fin."]),
+    ],
+)
+def test_abbreviations_by_language(text, units):
+    ends = sentences.sentence_ends(text)
+    assert [text[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)] == units
+
+
 # 6
 
 
