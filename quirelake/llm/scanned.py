@@ -331,7 +331,7 @@ TOP, BOTTOM = 2, 3
 
 
 def edge_lines(df: DataFrame) -> DataFrame:
-    """The first and last lines of each page: their place, key (letters only), shape (numbers as #) and first number.
+    """The first and last lines of each page: their place, key (letters only), shape (a hash, numbers as #) and first number.
 
     ``df`` has doc_id, page_num, block_idx, block_id, content, block_type, one row per block. Blank
     lines have no place.
@@ -348,7 +348,7 @@ def edge_lines(df: DataFrame) -> DataFrame:
                 if k < TOP or k >= n - BOTTOM:
                     form = skeleton(s, table).lower()
                     number = _NUMBER.search(form)
-                    own.append({"line_no": no, "k": k, "key": _LETTERS.sub("", form), "shape": _NUMBER.sub("#", form), "number": int(number[0]) if number and len(number[0]) < 7 else None})
+                    own.append({"line_no": no, "k": k, "key": _LETTERS.sub("", form), "shape": xxhash.xxh3_64_intdigest(_NUMBER.sub("#", form).encode("utf-8", "surrogatepass")) - 2**63, "number": int(number[0]) if number and len(number[0]) < 7 else None})
             counts.append(n)
             found.append(own)
         return {n: cols[n] for n in ("doc_id", "page_num", "block_idx", "block_id", "block_type", "single")} | {"n": counts, "lines": found}
@@ -356,7 +356,7 @@ def edge_lines(df: DataFrame) -> DataFrame:
     rows = map_batches(
         df.select("doc_id", "page_num", "block_idx", "block_id", "block_type", "content", "single"),
         work,
-        "doc_id string, page_num int, block_idx int, block_id string, block_type string, single boolean, n int, lines array<struct<line_no: int, k: int, key: string, shape: string, number: int>>",
+        "doc_id string, page_num int, block_idx int, block_id string, block_type string, single boolean, n int, lines array<struct<line_no: int, k: int, key: string, shape: bigint, number: int>>",
         setup=lambda: shared.value,
     )
     page = W.partitionBy("doc_id", "page_num")
