@@ -510,7 +510,7 @@ def layout_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
-    return _blocks(spark, d).select("doc_id", (F.col("page_num") * 1000000 + F.col("block_idx")).cast("bigint").alias("element_idx"), F.col("block_type").alias("category"), F.col("content").alias("text"))
+    return _blocks(spark, d).select("doc_id", (F.col("page_num").cast("bigint") * 1000000 + F.col("block_idx")).alias("element_idx"), F.col("block_type").alias("category"), F.col("content").alias("text"))
 
 
 _HEADS = ", ".join(f"'{h}'" for h in layout.HEADINGS)

@@ -107,11 +107,11 @@ def analysed(model: DataFrame, raw: DataFrame, word: DataFrame) -> DataFrame:
 
 
 def layout_tree(elements: DataFrame) -> DataFrame:
-    """``parent_idx`` of each element: the nearest heading before it, null for headings and for what stands before the first.
+    """``parent_idx`` of each element: the nearest heading before it or of its own place, null for headings and for what stands before the first.
 
-    ``elements`` has doc_id, element_idx, category, text. The text is cut to 120 characters.
+    ``elements`` has doc_id, element_idx, category, text; those without a place come last. The text is cut to 120 characters.
     """
-    line = W.partitionBy("doc_id").orderBy("element_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    line = W.partitionBy("doc_id").orderBy(F.asc_nulls_last("element_idx")).rangeBetween(W.unboundedPreceding, W.currentRow)
     heading = F.lower("category").isin(*HEADINGS)
     above = F.last(F.when(heading, F.col("element_idx")), ignorenulls=True).over(line)
     return elements.withColumn("parent_idx", F.when(~F.coalesce(heading, F.lit(False)), above)).withColumn("text", F.substring("text", 1, 120))
