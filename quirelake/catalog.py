@@ -57,7 +57,11 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """The distinct chunks; of several rows of an id the one with the smallest content."""
-    rows = table(spark, d, "chunks").where("chunk_id is not null")
+    return _one_each(table(spark, d, "chunks"))
+
+
+def _one_each(chunks: DataFrame) -> DataFrame:
+    rows = chunks.where("chunk_id is not null")
     return rows.groupBy("chunk_id").agg(F.min_by(F.struct(*rows.columns), F.struct(F.coalesce("content", F.lit("")), F.col("metadata").isNull())).alias("r")).select("r.*")
 
 
@@ -145,7 +149,10 @@ def vector_search_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kept_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return once(("chunks", d), lambda: _chunks(spark, d))
+    """The distinct chunks with what retrieval needs of their metadata."""
+    source = F.struct(*[F.col(f"metadata.{c}").alias(c) for c in ("source_file", "page_num", "section", "chunk_type")])
+    narrow = lambda: table(spark, d, "chunks", "chunk_id", "content", F.when(F.col("metadata").isNotNull(), source).alias("metadata"))
+    return once(("chunks", d), lambda: _one_each(narrow()))
 
 
 def _hybrid_queries(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
@@ -155,7 +162,7 @@ def _hybrid_queries(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
 
 def _rankings(spark: SparkSession, d: str, every: int) -> tuple[DataFrame, DataFrame]:
     queries, u = _hybrid_queries(spark, d, every), _units(spark, d)
-    words = index.keyword_search(index.keyword_index(_kept_chunks(spark, d), "chunk_id", "content"), queries, 30)
+    words = index.keyword_search(index.keyword_index(_kept_chunks(spark, d), "chunk_id", "content", unique=True), queries, 30)
     return index.vector_search(u, u.where(_asked("id", every)).withColumnRenamed("id", "query_id"), 30), words
 
 
@@ -194,7 +201,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
     """The fused results with content and metadata."""
     c = _kept_chunks(spark, d).select(F.col("chunk_id").alias("id"), "content", "metadata")
-    return once(("candidates", d, every), lambda: _hybrid(spark, d, every=every).select("query_id", "id", "score", "rank").join(c, "id"))
+    return once(("candidates", d, every), lambda: retrieval.with_contents(_hybrid(spark, d, every=every).select("query_id", "id", "score", "rank"), c))
 
 
 TERMS = f"""dw AS (SELECT h.query_id, unnest(regexp_split_to_array(c.content, '{SP}+')) AS term FROM h JOIN c ON c.chunk_id = h.id WHERE h.rank <= 5),

@@ -20,12 +20,16 @@ Tokenizer = Callable[[Column], Column]
 
 @dataclass
 class KeywordIndex:
-    """``postings(term, id, tf, dl)``, ``terms(term, df, idf)``, ``stats(n, avgdl)`` of a corpus, and what cuts texts into terms."""
+    """``postings(term, id, tf, dl)``, ``terms(term, df, idf)``, ``stats(n, avgdl)`` of a corpus, and what cuts texts into terms.
+
+    ``cut(id, ts)``: the texts' terms, a row an id, where searches may read them in place.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     tokenizer: Tokenizer = tokens
+    cut: DataFrame | None = None
 
 
 def keyword_postings(corpus: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
@@ -37,23 +41,35 @@ def keyword_postings(corpus: DataFrame, key: str, text: str, tokenizer: Tokenize
 
 def weighed(postings: DataFrame, n: DataFrame, tokenizer: Tokenizer = tokens, *, epsilon: float = 0.25, floor: float = 0.1) -> KeywordIndex:
     """The index over kept or stored ``postings``; ``n`` is one row with the number of texts."""
-    stats = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).crossJoin(F.broadcast(n)).select("n", F.when(F.col("n") > 0, F.col("all") / F.col("n")).otherwise(0.0).alias("avgdl"))  # one row each
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    all_ = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all"))
+    return KeywordIndex(postings, *_statistics(postings.groupBy("term").agg(F.count("*").alias("df")), all_, n, epsilon, floor), tokenizer)
+
+
+def _statistics(df: DataFrame, all_: DataFrame, n: DataFrame, epsilon: float, floor: float) -> tuple[DataFrame, DataFrame]:
+    """``terms`` and ``stats`` from the texts a term is in, one row with the number of tokens and one with that of texts."""
+    stats = all_.crossJoin(F.broadcast(n)).select("n", F.when(F.col("n") > 0, F.col("all") / F.col("n")).otherwise(0.0).alias("avgdl"))  # one row each
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     raw = keep(raw)
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.greatest(F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")), F.lit(floor)).alias("idf"))  # one row
-    return KeywordIndex(postings, terms, stats, tokenizer)
+    return terms, stats
 
 
-def keyword_index(corpus: DataFrame, key: str, text: str, *, tokenizer: Tokenizer = tokens, epsilon: float = 0.25, floor: float = 0.1) -> KeywordIndex:
+def keyword_index(corpus: DataFrame, key: str, text: str, *, tokenizer: Tokenizer = tokens, epsilon: float = 0.25, floor: float = 0.1, unique: bool = False) -> KeywordIndex:
     """Term statistics over the whole corpus.
 
     The idf is ln(n - df + .5) - ln(df + .5); a negative one is replaced by ``epsilon`` times the mean of all,
     and none is below ``floor``. Texts without tokens count in n and in the mean length. ``tokenizer`` takes a
     column of texts and gives one of arrays of terms (a segmenter with a dictionary is a pandas UDF of that form).
+    ``unique`` states that ``corpus`` has one row an id: then nothing but a row per term is shuffled and kept, and searches read the texts where they lie.
     """
     n = corpus.agg(F.count(text).alias("n"))
+    if unique:
+        cut = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokenizer(F.col(text)).alias("ts"))
+        each = cut.select(F.size("ts").alias("dl"), F.array_distinct("ts").alias("ts")).select("dl", F.posexplode_outer("ts").alias("at", "term")).where("term is not null")
+        df = keep(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl"))).alias("dl")))  # a text's length stands at its first term
+        made = _statistics(df.select("term", "df"), df.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("all")), n, epsilon, floor)
+        return KeywordIndex(keyword_postings(corpus, key, text, tokenizer), *made, tokenizer, cut)
     return weighed(keep(keyword_postings(corpus, key, text, tokenizer)), n, tokenizer, epsilon=epsilon, floor=floor)
 
 
@@ -63,14 +79,101 @@ def ranked(scored: DataFrame, k: int, query: str = "query_id", key: str = "id",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
+def _first_of_ties(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Of every run of equal scores the ``k`` first by place: no other one can be among the ``k`` best."""
+    order = np.lexsort((place, -score))
+    new = np.flatnonzero(np.diff(score[order], prepend=np.nan) != 0)
+    return order[np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order)))) < k]
+
+
+@dataclass
+class _Asked:
+    """Queries as terms of ``vocabulary`` with weights; query i has those from ``start[i]`` to ``start[i + 1]``."""
+
+    names: pa.Array
+    vocabulary: pa.Array
+    start: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+
+
+def _matching(ids: pa.Array, ts: pa.Array, asked: _Asked, k: int, k1: float, b: float, avgdl: float) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(query numbers, ids, scores): of these texts the ``k`` best of every query, and all that may tie with the last after rounding."""
+    offsets = ts.offsets.to_numpy()
+    n, dl = len(ids), np.diff(offsets)
+    term = pc.fill_null(pc.index_in(ts.values.slice(offsets[0], offsets[-1] - offsets[0]), value_set=asked.vocabulary), -1).to_numpy()
+    row = np.repeat(np.arange(n), dl)
+    both, tf = np.unique(term[term >= 0].astype(np.int64) * n + row[term >= 0], return_counts=True)
+    term, row = np.divmod(both, max(1, n))
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+    bounds = np.searchsorted(term, np.arange(len(asked.vocabulary) + 1))
+    place = np.empty(n, dtype=np.int64)
+    place[pc.array_sort_indices(ids).to_numpy()] = np.arange(n)
+    total = np.zeros(n)
+    numbers, places, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for q in range(len(asked.start) - 1):
+        own = slice(asked.start[q], asked.start[q + 1])
+        for t, weight in zip(asked.term[own], asked.weight[own], strict=True):
+            at = slice(bounds[t], bounds[t + 1])
+            total[row[at]] += weight * part[at]
+        hit = np.flatnonzero(total)
+        score = total[hit]
+        total[hit] = 0
+        if len(hit) > k:
+            best = score >= np.partition(score, len(hit) - k)[len(hit) - k] - 2e-6
+            hit, score = hit[best], score[best]
+        if len(hit) > 2 * k:
+            best = _first_of_ties(score, place[hit], k)
+            hit, score = hit[best], score[best]
+        numbers.append(np.full(len(hit), q))
+        places.append(hit)
+        scores.append(score)
+    return np.concatenate(numbers), ids.take(pa.array(np.concatenate(places))), np.concatenate(scores)
+
+
+def _search_in_place(index: KeywordIndex, weighted: DataFrame, k: int, k1: float, b: float, allowed: DataFrame | None, sent: int) -> DataFrame | None:
+    """``keyword_search`` over the texts where they lie, for a query set of at most ``sent`` bytes; queries of the same terms are one. None for a larger one."""
+    bags = weighted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times", "idf"))).alias("bag"))  # as long as the query
+    bags = keep(bags.withColumn("leader", F.min("query_id").over(W.partitionBy("bag"))))
+    own = bags.where("query_id = leader")
+    cost = F.aggregate("bag", F.lit(0).cast("bigint"), lambda a, x: a + 4 * F.length(x["term"]) + 32)
+    if own.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("n")).first().n > sent:
+        return None
+    kind, asked_kind = dict(index.cut.dtypes)["id"], dict(bags.dtypes)["query_id"]
+    own = own.select("query_id", "bag").toArrow().combine_chunks()  # its size was just checked
+    bag, first = own.column("bag").combine_chunks(), index.stats.first()
+    terms = bag.flatten()
+    coded = pc.dictionary_encode(terms.field("term"))
+    weight = terms.field("times").to_numpy() * terms.field("idf").to_numpy()
+    asked = _Asked(own.column("query_id").combine_chunks(), coded.dictionary, np.cumsum([0, *pc.list_value_length(bag).to_pylist()]), coded.indices.to_numpy(), weight)
+    shared, avgdl = bags.sparkSession.sparkContext.broadcast(asked), first.avgdl if first else 0.0
+
+    def work(batches):
+        asked = shared.value
+        for batch in batches:
+            if batch.num_rows and len(asked.names):
+                number, ids, score = _matching(batch.column(0), batch.column(1), asked, k, k1, b, avgdl)
+                yield pa.RecordBatch.from_arrays([asked.names.take(pa.array(number)), ids, pa.array(score)], names=["query_id", "id", "score"])
+
+    texts = index.cut if allowed is None else index.cut.join(allowed.select("id").distinct(), "id", "left_semi")
+    scored = texts.select("id", "ts").mapInArrow(work, f"query_id {asked_kind}, id {kind}, score double")
+    best = ranked(scored.select(F.col("query_id").alias("leader"), "id", F.round("score", 6).alias("score")).where("score > 0"), k, "leader")
+    return bags.select("query_id", "leader").join(best, "leader").select("query_id", "id", "score", "rank")
+
+
+def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None, sent: int | None = None) -> DataFrame:
     """``query_id``, ``id``, ``score``, ``rank`` by Okapi BM25; ``queries`` has query_id and query.
 
     Every occurrence of a token in the query adds. ``allowed(id)`` masks results, not statistics.
     Blank queries and queries without a known token have no rows; scores are rounded to 6 digits
-    before they are ranked, ties go by id, and no score is 0 or less.
+    before they are ranked, ties go by id, and no score is 0 or less. If the index has its texts' terms, a query set of at most ``sent``
+    bytes is sent to the texts, which stay where they are; otherwise the postings of every asked term are joined.
     """
     asked = queries.select("query_id", F.explode(index.tokenizer(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    if index.cut is not None:
+        found = _search_in_place(index, asked.join(index.terms.select("term", "idf"), "term"), k, k1, b, allowed, SENT if sent is None else sent)
+        if found is not None:
+            return found
     hits = index.postings if allowed is None else index.postings.join(allowed.select("id").distinct(), "id", "left_semi")
     hits = asked.join(index.terms, "term").join(hits, "term").crossJoin(F.broadcast(index.stats))  # one row
     tf = F.col("tf").cast("double")
@@ -83,7 +186,7 @@ def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``id``, ``v``: distinct non-null, non-zero vectors scaled to length 1, as doubles."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), v.alias("v")).distinct().withColumn("norm", norm).where("norm > 0")
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector)).distinct().select("id", v.alias("v")).withColumn("norm", norm).where("norm > 0")
     return rows.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, rfind, token_estimate
+from ..session import keep
 from .index import fused, ranked
 
 RERANK_POOL = 10
@@ -60,6 +61,15 @@ def reranked(candidates: DataFrame, queries: DataFrame, k: int = 10, pool: int =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Results up to which they are sent to the contents, which then stay where they are.
+SENT_RESULTS = 100_000
+
+
+def with_contents(results: DataFrame, contents: DataFrame) -> DataFrame:
+    """``results`` with the contents of their ids; of contents that no result has, none is shuffled where ``results``, best kept, are few."""
+    return contents.join(F.broadcast(results), "id") if results.count() <= SENT_RESULTS else results.join(contents, "id")
+
+
 def retrieve(first: DataFrame | None, second: DataFrame | None, contents: DataFrame, queries: DataFrame, k: int = 10, scorer: Callable[[Column, Column], Column] | None = lexical_score) -> DataFrame:
     """From two rankings (query_id, id, rank) to the reranked results with content and metadata; a search that failed is None: one alone is fused with nothing, none gives no rows."""
     known = first if first is not None else second
@@ -68,7 +78,7 @@ def retrieve(first: DataFrame | None, second: DataFrame | None, contents: DataFr
         return contents.limit(0).select(none.alias("query_id"), "*", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     nothing = known.limit(0)
     both = fused(first if first is not None else nothing, second if second is not None else nothing, 30)
-    return reranked(both.select("query_id", "id", "score", "rank").join(contents, "id"), queries, k, scorer=scorer)
+    return reranked(with_contents(keep(both.select("query_id", "id", "score", "rank")), contents), queries, k, scorer=scorer)
 
 
 def context_header(m: str = "metadata") -> Column:

@@ -397,3 +397,23 @@ def test_failed_searches(spark):
     assert [(r.id, r["rank"]) for r in retrieval.retrieve(None, one, c, q).collect()] == [("c", 1)]
     got = retrieval.retrieve(one, None, c, q, scorer=lambda q, t: F.lit(None).cast("double")).first()
     assert got["rank"] == 1 and got.score is None
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_keyword_search_in_place(spark, seed):
+    """Over texts in place as over postings: ties beyond k, queries of the same terms, empty texts, repeated terms, a mask; no hit is shuffled."""
+    r = random.Random(seed)
+    texts = [" ".join(r.choices("abcdefgh", k=r.randint(0, 4))) for _ in range(300)] + [None, "", "图a b"]
+    docs = spark.createDataFrame([(f"d{i * 7919 % 1000:03}", t) for i, t in enumerate(texts)], "id string, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b"), (2, "b A"), (3, "c c d"), (4, "zz"), (5, ""), (6, "h 图a")], "query_id int, query string")
+    held, placed = index.keyword_index(docs, "id", "text"), index.keyword_index(docs, "id", "text", unique=True)
+    assert rows(placed.terms, "term", "df", "idf") == rows(held.terms, "term", "df", "idf") and placed.stats.collect() == held.stats.collect()
+    few = docs.where("id < 'd500'").select("id")
+    for allowed in (None, few):
+        want = rows(index.keyword_search(held, asked, 7, allowed=allowed), "query_id", "rank", "id", "score")
+        got = index.keyword_search(placed, asked, 7, allowed=allowed)
+        assert {x[0] for x in want} == {1, 2, 3, 6} and rows(got, "query_id", "rank", "id", "score") == want
+        assert rows(index.keyword_search(placed, asked, 7, allowed=allowed, sent=0), "query_id", "rank", "id", "score") == want
+    assert "MapInArrow" in index.keyword_search(placed, asked, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert index.keyword_search(placed, asked.limit(0), 7).count() == 0
+    assert index.keyword_search(index.keyword_index(docs.limit(0), "id", "text", unique=True), asked).count() == 0
