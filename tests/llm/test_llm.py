@@ -205,6 +205,24 @@ def test_near_copies_against_brute_force(spark, how, seed):
     assert got == _brute(texts, 0.6, 3, 20)
 
 
+def test_near_copies_keep_no_keys(spark):
+    """The join keeps the elements of all rows, of the distinct sets and of those that met on disk, but no keys."""
+    import random
+
+    from quirelake.session import on_its_own
+
+    r = random.Random(5)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(400)) for _ in range(60)]
+    texts += [t + " more words" for t in texts[:30]] + texts[:3] + [texts[4]]
+    df = spark.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)] + [("000", texts[0])] * 3 + [("005", texts[5])], "id string, content string")
+    store = lambda: {x.id(): x.diskSize() + x.memSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+    before = store()
+    got = on_its_own(lambda spark, _: near_copies.near_copy_pairs(df, "id", "content", 0.6, 3, 20))(spark, "")
+    found = got.collect()
+    assert len(found) == 30 + 3 + 3 + 1 + 1  # edited, edited copies, copies, and the copy of an edited text's origin twice
+    assert sum(n for k, n in store().items() if k not in before) < 3 * 8 * 400 * (len(texts) + 4)
+
+
 def test_near_copy_groups(spark):
     a, b = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
     df = spark.createDataFrame([("1", a), ("2", a + " z"), ("3", a), ("4", b)], "id string, content string")
