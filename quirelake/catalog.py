@@ -132,7 +132,7 @@ SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    return once(("units", d), lambda: index.unit_vectors(table(spark, d, "vectors", "chunk_id", "embedding"), "chunk_id", "embedding"))
+    return once(("units", d), lambda: index.unit_vectors(table(spark, d, "vectors", "chunk_id", "embedding"), "chunk_id", "embedding"), kept=False)
 
 
 @query(_vector_sql())
@@ -149,10 +149,10 @@ def vector_search_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kept_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The distinct chunks with what retrieval needs of their metadata."""
+    """The distinct chunks with what retrieval needs of their metadata; read where they lie, but for repeated ones."""
     source = F.struct(*[F.col(f"metadata.{c}").alias(c) for c in ("source_file", "page_num", "section", "chunk_type")])
     narrow = lambda: table(spark, d, "chunks", "chunk_id", "content", F.when(F.col("metadata").isNotNull(), source).alias("metadata"))
-    return once(("chunks", d), lambda: _one_each(narrow()))
+    return once(("chunks", d), lambda: index.distinct_by(narrow().where("chunk_id is not null"), "chunk_id", _one_each), kept=False)
 
 
 def _hybrid_queries(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
@@ -201,7 +201,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
     """The fused results with content and metadata."""
     c = _kept_chunks(spark, d).select(F.col("chunk_id").alias("id"), "content", "metadata")
-    return once(("candidates", d, every), lambda: retrieval.with_contents(_hybrid(spark, d, every=every).select("query_id", "id", "score", "rank"), c))
+    return once(("candidates", d, every), lambda: retrieval.with_contents(_hybrid(spark, d, every=every).select("query_id", "id", "score", "rank"), c), kept=False)
 
 
 TERMS = f"""dw AS (SELECT h.query_id, unnest(regexp_split_to_array(c.content, '{SP}+')) AS term FROM h JOIN c ON c.chunk_id = h.id WHERE h.rank <= 5),

@@ -32,6 +32,23 @@ class KeywordIndex:
     cut: DataFrame | None = None
 
 
+#: Repeated keys up to which they are sent to the rows, which then stay where they are.
+SENT_KEYS = 100_000
+
+
+def distinct_by(df: DataFrame, key: str, one: Callable[[DataFrame], DataFrame], *, sent: int | None = None) -> DataFrame:
+    """``one(df)``, which takes rows of equal keys together and leaves a row alone as it is; keys aren't null.
+
+    Only keys and the rows of repeated ones are shuffled and kept; the others are read where they lie, at each read. With more than ``sent`` repeated keys all rows are.
+    """
+    again = keep(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    n = again.count()
+    if n > (SENT_KEYS if sent is None else sent):
+        return keep(one(df))
+    few = one(df.join(F.broadcast(again), key, "left_semi")).coalesce(1 + n // 10_000)  # searches give k rows a query and task
+    return df.join(F.broadcast(again), key, "left_anti").unionByName(keep(few))
+
+
 def keyword_postings(corpus: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
     """``term``, ``id``, ``tf``, ``dl`` (tokens of the text); every text is cut once."""
     rows = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokenizer(F.col(text)).alias("ts"))
@@ -65,6 +82,7 @@ def keyword_index(corpus: DataFrame, key: str, text: str, *, tokenizer: Tokenize
     """
     n = corpus.agg(F.count(text).alias("n"))
     if unique:
+        n = keep(n)
         cut = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokenizer(F.col(text)).alias("ts"))
         each = cut.select(F.size("ts").alias("dl"), F.array_distinct("ts").alias("ts")).select("dl", F.posexplode_outer("ts").alias("at", "term")).where("term is not null")
         df = keep(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl"))).alias("dl")))  # a text's length stands at its first term
@@ -186,7 +204,8 @@ def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``id``, ``v``: distinct non-null, non-zero vectors scaled to length 1, as doubles."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector)).distinct().select("id", v.alias("v")).withColumn("norm", norm).where("norm > 0")
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector))
+    rows = distinct_by(rows, "id", DataFrame.distinct).select("id", v.alias("v")).withColumn("norm", norm).where("norm > 0")
     return rows.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 

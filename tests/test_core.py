@@ -417,3 +417,31 @@ def test_keyword_search_in_place(spark, seed):
     assert "MapInArrow" in index.keyword_search(placed, asked, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert index.keyword_search(placed, asked.limit(0), 7).count() == 0
     assert index.keyword_search(index.keyword_index(docs.limit(0), "id", "text", unique=True), asked).count() == 0
+
+
+@pytest.mark.parametrize("sent", [None, 0])
+def test_distinct_by(spark, sent):
+    """Rows of repeated keys are taken together, the others stay as they are, null vectors too; only the first are kept, unless there are too many."""
+    from quirelake.catalog import _one_each
+
+    made = [(f"k{i % 95}", "" if i == 3 else f"text {i}", None if i % 7 == 0 else i) for i in range(100)] + [("k90", "text 90", None), ("k50", None, 5)] + [("k60", "text 60", 60)] * 3
+    df = spark.createDataFrame(made, "chunk_id string, content string, metadata int").repartition(5)
+    got = index.distinct_by(df, "chunk_id", _one_each, sent=sent)
+    assert rows(got, "chunk_id", "content", "metadata") == rows(_one_each(df), "chunk_id", "content", "metadata") and got.count() == 95
+    pairs = spark.createDataFrame([("a", [1.0]), ("a", [1.0]), ("a", [2.0]), ("b", None), ("c", [3.0])], "id string, v array<float>")
+    assert sorted(map(str, index.distinct_by(pairs, "id", type(pairs).distinct, sent=sent).collect())) == sorted(map(str, pairs.distinct().collect()))
+    assert index.distinct_by(df.limit(0), "chunk_id", _one_each, sent=sent).count() == 0
+    spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["context_text"])
+def test_corpus_is_not_kept(spark, data, name):
+    """A retrieval query over sf0.01 keeps less on disk than its chunks' contents take, which were kept whole, with all vectors as doubles."""
+    from quirelake import catalog
+
+    spark.catalog.clearCache()
+    out = catalog.queries()[name](spark, f"{data}/sf0.01")
+    assert out.count()
+    kept = sum(x.diskSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    contents = spark.read.parquet(f"{data}/sf0.01/chunks.parquet").selectExpr("sum(octet_length(content)) n").first().n
+    assert 0 < kept < contents
