@@ -434,7 +434,7 @@ def test_distinct_by(spark, sent):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", ["context_text", "query_response", "rerank_query", "context_pack", "domain_terms"])
+@pytest.mark.parametrize("name", ["context_text", "query_response", "rerank_query", "context_pack", "domain_terms", "rerank_lexical"])
 def test_corpus_is_not_kept(spark, data, name):
     """A retrieval query over sf0.01 keeps less on disk than its chunks' contents take, which were kept whole, with all vectors as doubles."""
     from quirelake import catalog
