@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,7 +85,7 @@ def keyword_index(corpus: DataFrame, key: str, text: str, *, tokenizer: Tokenize
         n = keep(n)
         cut = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokenizer(F.col(text)).alias("ts"))
         each = cut.select(F.size("ts").alias("dl"), F.array_distinct("ts").alias("ts")).select("dl", F.posexplode_outer("ts").alias("at", "term")).where("term is not null")
-        df = keep(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl"))).alias("dl")))  # a text's length stands at its first term
+        df = keep(_in_few(each).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl"))).alias("dl")))  # a text's length stands at its first term
         made = _statistics(df.select("term", "df"), df.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("all")), n, epsilon, floor)
         return KeywordIndex(keyword_postings(corpus, key, text, tokenizer), *made, tokenizer, cut)
     return weighed(keep(keyword_postings(corpus, key, text, tokenizer)), n, tokenizer, epsilon=epsilon, floor=floor)
@@ -104,6 +104,59 @@ def _first_of_ties(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order)))) < k]
 
 
+def _in_few(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, at most: what each of them gives per query or term is shuffled, so their number must not grow with the rows."""
+    return df.coalesce(max(4, df.sparkSession.sparkContext.defaultParallelism))
+
+
+class _Best:
+    """Of what a task has seen, the rows that may be among the ``k`` best of their query once scores are rounded to 6 digits and ties go by id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.floor = k, np.full(queries, -np.inf)  # what a row must come near, by query
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.trimmed, self.rows = 0, 0
+
+    def add(self, number: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
+        self.held.append((number, ids, score))
+        self.rows += len(number)
+        if self.rows > 1.5 * self.trimmed:
+            self.trim()
+
+    def trim(self) -> None:
+        number, ids, score = (np.concatenate([x[0] for x in self.held]), pa.concat_arrays([x[1] for x in self.held]), np.concatenate([x[2] for x in self.held]))
+        order = np.lexsort((-score, number))
+        number, score = number[order], score[order]
+        start = np.flatnonzero(np.diff(number, prepend=-1))
+        size = np.diff(np.append(start, len(number)))
+        full = start[size >= self.k]
+        self.floor[number[full]] = score[full + self.k - 1]
+        good = np.flatnonzero(score >= self.floor[number] - 2e-6)
+        number, score, order = number[good], score[good], order[good]
+        # scores that surely are the same after rounding; those that lie near a half only with their equals
+        part = np.abs(score) * 1e6
+        value = np.where(np.abs(part - np.floor(part) - 0.5) < 1e-3, score, np.rint(score * 1e6) / 1e6)
+        new = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(value, prepend=np.nan) != 0))
+        size = np.diff(np.append(new, len(number)))
+        if (size > self.k).any():
+            group = np.repeat(np.arange(len(new)), size)
+            many = np.flatnonzero(np.repeat(size > self.k, size))
+            place = np.zeros(len(number), dtype=np.int64)
+            place[many[pc.array_sort_indices(ids.take(pa.array(order[many]))).to_numpy()]] = np.arange(len(many))
+            by = np.lexsort((place, group))
+            by = by[np.arange(len(by)) - np.repeat(new, size) < self.k]
+            number, score, order = number[by], score[by], order[by]
+        self.held, self.trimmed, self.rows = [(number, ids.take(pa.array(order)), score)], len(number), len(number)
+
+    def batches(self, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.trim()
+            number, ids, score = self.held[0]
+            whole = pa.RecordBatch.from_arrays([names.take(pa.array(number)), ids, pa.array(score)], names=["query_id", "id", "score"])
+            for first in range(0, len(number), 10_000):
+                yield whole.slice(first, 10_000)
+
+
 @dataclass
 class _Asked:
     """Queries as terms of ``vocabulary`` with weights; query i has those from ``start[i]`` to ``start[i + 1]``."""
@@ -115,8 +168,8 @@ class _Asked:
     weight: np.ndarray
 
 
-def _matching(ids: pa.Array, ts: pa.Array, asked: _Asked, k: int, k1: float, b: float, avgdl: float) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(query numbers, ids, scores): of these texts the ``k`` best of every query, and all that may tie with the last after rounding."""
+def _matching(ids: pa.Array, ts: pa.Array, asked: _Asked, k: int, k1: float, b: float, avgdl: float, floor: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(query numbers, ids, scores): of these texts the ``k`` best of every query, and all that may tie with the last after rounding; none well below the query's ``floor``."""
     offsets = ts.offsets.to_numpy()
     n, dl = len(ids), np.diff(offsets)
     term = pc.fill_null(pc.index_in(ts.values.slice(offsets[0], offsets[-1] - offsets[0]), value_set=asked.vocabulary), -1).to_numpy()
@@ -137,6 +190,9 @@ def _matching(ids: pa.Array, ts: pa.Array, asked: _Asked, k: int, k1: float, b:
         hit = np.flatnonzero(total)
         score = total[hit]
         total[hit] = 0
+        if floor[q] > 0:
+            best = score >= floor[q] - 2e-6
+            hit, score = hit[best], score[best]
         if len(hit) > k:
             best = score >= np.partition(score, len(hit) - k)[len(hit) - k] - 2e-6
             hit, score = hit[best], score[best]
@@ -168,13 +224,14 @@ def _search_in_place(index: KeywordIndex, weighted: DataFrame, k: int, k1: float
 
     def work(batches):
         asked = shared.value
+        best = _Best(len(asked.names), k)
         for batch in batches:
             if batch.num_rows and len(asked.names):
-                number, ids, score = _matching(batch.column(0), batch.column(1), asked, k, k1, b, avgdl)
-                yield pa.RecordBatch.from_arrays([asked.names.take(pa.array(number)), ids, pa.array(score)], names=["query_id", "id", "score"])
+                best.add(*_matching(batch.column(0), batch.column(1), asked, k, k1, b, avgdl, best.floor))
+        yield from best.batches(asked.names)
 
     texts = index.cut if allowed is None else index.cut.join(allowed.select("id").distinct(), "id", "left_semi")
-    scored = texts.select("id", "ts").mapInArrow(work, f"query_id {asked_kind}, id {kind}, score double")
+    scored = _in_few(texts.select("id", "ts")).mapInArrow(work, f"query_id {asked_kind}, id {kind}, score double")
     best = ranked(scored.select(F.col("query_id").alias("leader"), "id", F.round("score", 6).alias("score")).where("score > 0"), k, "leader")
     return bags.select("query_id", "leader").join(best, "leader").select("query_id", "id", "score", "rank")
 
@@ -213,8 +270,8 @@ def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 SENT, TILE = 64_000_000, 4096
 
 
-def _near(ids: pa.Array, vectors: pa.Array, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(query numbers, ids, cosines): of these vectors the ``k`` nearest to every query of their length, and all that tie with the last after rounding."""
+def _near(ids: pa.Array, vectors: pa.Array, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(query numbers, ids, cosines): of these vectors the ``k`` nearest to every query of their length, and all that tie with the last after rounding; none well below the query's ``floor``."""
     sizes = np.diff(vectors.offsets.to_numpy())
     flat, offsets = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
     numbers, places, scores = [], [], []
@@ -226,6 +283,8 @@ def _near(ids: pa.Array, vectors: pa.Array, asked: dict[int, tuple[np.ndarray, n
         for first in range(0, len(x), 1024):
             cosine = x[first : first + 1024] @ u.T
             last = np.partition(cosine, len(at) - k, 1)[:, len(at) - k] if len(at) > k else np.full(len(cosine), -np.inf)
+            if floor is not None:
+                last = np.maximum(last, floor[q[first : first + 1024]])
             row, col = np.nonzero(cosine >= last[:, None] - 2e-6)
             numbers.append(q[first + row])
             places.append(at[col])
@@ -256,11 +315,12 @@ def vector_search(units: DataFrame, queries: DataFrame, k: int = 10, *, sent: in
 
         def work(batches):
             names, asked = shared.value
+            best = _Best(len(names), k)
             for b in batches:
-                number, ids, score = _near(b.column(0), b.column(1), asked, k)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(number)), ids, pa.array(score)], names=["query_id", "id", "score"])
+                best.add(*_near(b.column(0), b.column(1), asked, k, best.floor))
+            yield from best.batches(names)
 
-        scored = units.select("id", "v").mapInArrow(work, f"query_id {asked_kind}, id {kind}, score double")
+        scored = _in_few(units.select("id", "v")).mapInArrow(work, f"query_id {asked_kind}, id {kind}, score double")
     else:
         many = lambda df: max(1, -(-df.count() // tile))
         across, down = many(units), many(queries)

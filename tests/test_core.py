@@ -445,3 +445,26 @@ def test_corpus_is_not_kept(spark, data, name):
     kept = sum(x.diskSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo())
     contents = spark.read.parquet(f"{data}/sf0.01/chunks.parquet").selectExpr("sum(octet_length(content)) n").first().n
     assert 0 < kept < contents
+
+
+def test_search_shuffles_no_more_with_more_partitions(spark, monkeypatch):
+    """What searches shuffle is bounded by cores, queries and k, however many partitions and batches the rows lie in; of many ties the first ids stay."""
+    real, seen = index.ranked, []
+    monkeypatch.setattr(index, "ranked", lambda scored, *a: seen.append(scored) or real(scored, *a))
+    made = [(f"d{i:03}", f"a{i % 3} b{i % 7} a", [float(i % 5), 1.0, float(i % 2)]) for i in range(600)]
+    docs = spark.createDataFrame(made, "id string, text string, v array<double>").repartition(40)
+    asked = spark.createDataFrame([(q, t, [float(q), 1.0, 0.0]) for q, t in enumerate(["a0", "b3 a", "a1 b1", "nothing"])], "query_id int, query string, v array<double>")
+    units = index.unit_vectors(docs, "id", "v")
+    asking = index.unit_vectors(asked, "query_id", "v").withColumnRenamed("id", "query_id")
+    held, placed = (index.keyword_index(docs, "id", "text", unique=u) for u in (False, True))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = index.keyword_search(placed, asked, 6), index.vector_search(units, asking, 6)
+        for scored in seen:  # three scores at most may round to one
+            assert scored.rdd.getNumPartitions() <= 4 and 0 < scored.count() <= 4 * 4 * 6 * 3
+        want = index.keyword_search(held, asked, 6), index.vector_search(units, asking, 6, sent=0, tile=64)
+        for a, b in zip(got, want, strict=True):
+            assert rows(a, "query_id", "rank", "id", "score") == rows(b, "query_id", "rank", "id", "score")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.catalog.clearCache()
