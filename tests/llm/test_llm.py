@@ -465,3 +465,23 @@ def test_shared_share_and_clusters(spark):
 
 def test_letters_and_marks_stay_together():
     assert all(unicodedata.category(t[e : e + 1] or "a")[0] != "M" for t in ["á" * 40] for _, e in cutting.cut_points(t, 15, 0)[:-1])
+
+
+def test_near_copies_keep_the_driver_small(spark):
+    """The meeting's plan ends where its pairs are written, so later plans don't repeat it; bitmaps and counters come to the driver packed, and whole."""
+    words = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(i, " ".join(words[i % 40 : i % 40 + 60])) for i in range(80)], "id int, content string").repartition(3)
+    pairs = near_copies.near_copy_pairs(df, "id", "content", 0.6, 3, 20)
+    assert "meet(" not in pairs._jdf.queryExecution().optimizedPlan().toString() and pairs.count()
+    sets = near_copies.element_sets(df, "id", "content", 3, 20).dropDuplicates(["s"]).select("s", "n", "e")
+    names, order, bits = near_copies._bitmaps(sets, 8, 32)
+    held = {r.s: np.array(r.e, dtype=np.int64) for r in sets.collect()}
+    assert list(names) == sorted(held)
+    for s, at in zip(names, order, strict=True):
+        assert (bits[at] == np.concatenate([near_copies.bitmap(held[s], w) for w in (8, 32)])).all()
+    counted = [(5, 1), (7, 2), (near_copies.COUNTERS - 1, 70_000), (0, 3)]
+    got = near_copies._frequencies(spark.createDataFrame(counted, "c int, count bigint").repartition(2))
+    assert {int(c): int(got[c]) for c in np.flatnonzero(got > 1)} == {7: 2, near_copies.COUNTERS - 1: 65535, 0: 3} and got.min() == 1
+    empty = near_copies._bitmaps(sets.limit(0), 8)
+    assert [len(x) for x in empty] == [0, 0, 0]
+    spark.catalog.clearCache()
