@@ -269,7 +269,12 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {HYBRID}, {RERANK}, {PACK} SELECT query_id, rank, id, used FROM pk UNION ALL SELECT query_id, rank, id, CAST(used AS BIGINT) FROM pk1 WHERE rank = 1 AND used > 3600")
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).select("query_id", "rank", "id", F.col("used").cast("bigint").alias("used"))
+    """The packed results by number. Of contents only scores and costs are needed, which are told where they lie: no content is shuffled or kept."""
+    asked = _hybrid_queries(spark, d).select("query_id", F.col("query").alias("q"))
+    asking = _hybrid(spark, d).where(F.col("rank") <= retrieval.RERANK_POOL).select("query_id", "id", "rank").join(asked, "query_id")
+    found = retrieval.with_contents(asking, _kept_chunks(spark, d).select(F.col("chunk_id").alias("id"), "content", "metadata"))
+    costed = keep(retrieval.rescored(found).select("query_id", "id", "before", "score", retrieval.block_cost().alias("cost")))
+    return retrieval.packed_costs(retrieval.reordered(costed)).select("query_id", "rank", "id", F.col("used").cast("bigint").alias("used"))
 
 
 @query(f"WITH {HYBRID}, {RERANK}, {PACK} SELECT query_id, CAST(count(*) AS INTEGER) AS blocks, string_agg('[' || rank || '] ' || block, chr(10) || chr(10) ORDER BY rank) AS context FROM pk GROUP BY query_id")

@@ -39,16 +39,44 @@ SENT_KEYS = 100_000
 def distinct_by(df: DataFrame, key: str, one: Callable[[DataFrame], DataFrame], *, sent: int | None = None) -> DataFrame:
     """``one(df)``, which takes rows of equal keys together and leaves a row alone as it is; keys aren't null.
 
-    Only keys and the rows of repeated ones are shuffled and kept; the others are read where they lie, at each read. With more than ``sent`` repeated keys all rows are.
+    Only keys and the rows of repeated ones are shuffled and kept; the others are read where they lie, at each read. Of more than ``sent`` repeated keys
+    a map is sent instead, and the few rows whose keys it can't tell from repeated ones are gathered too.
     """
     again = keep(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
     n = again.count()
     if n > (SENT_KEYS if sent is None else sent):
-        return keep(one(df))
+        held = keep(_key_map(again, key))
+        return _mapped(df, key, held, "left_anti").unionByName(keep(one(_mapped(df, key, held, "left_semi"))))
     few = one(df.join(F.broadcast(again), key, "left_semi")).coalesce(1 + n // 10_000)  # searches give k rows a query and task
     return df.join(F.broadcast(again), key, "left_anti").unionByName(keep(few))
 
 
+#: Bits of a map of keys (8 MB); a key is the bit of its hash.
+KEY_BITS = 1 << 26
+
+
+def _key_bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BITS)) + 1
+
+
+def _key_map(keys: DataFrame, key: str) -> DataFrame:
+    """``_part``, ``_bits``: the map of ``keys``, in parts of 4 KB, of which only those with a key are there."""
+    parts = keys.select(_key_bit(key).alias("_bit")).withColumn("_part", F.bitmap_bucket_number("_bit")).repartition("_part")
+    return parts.groupBy("_part").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+
+
+def _mapped(df: DataFrame, key: str, held: DataFrame, how: str) -> DataFrame:
+    """The rows of ``df`` whose key is in the map ``held`` (left_semi), or isn't (left_anti); they stay where they are."""
+    at = F.bitmap_bit_position(_key_bit(key))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.join(F.broadcast(held), (F.bitmap_bucket_number(_key_bit(key)) == F.col("_part")) & (F.getbit(byte, (at % 8).cast("int")) == 1), how)
+
+
+def among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is one of ``keys``, however many, and a small part of the others; none is shuffled."""
+    return _mapped(df, key, _key_map(keys, key), "left_semi")
+
+
 def keyword_postings(corpus: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
     """``term``, ``id``, ``tf``, ``dl`` (tokens of the text); every text is cut once."""
     rows = corpus.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokenizer(F.col(text)).alias("ts"))

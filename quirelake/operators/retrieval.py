@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, rfind, token_estimate
 from ..session import keep
-from .index import fused, ranked
+from .index import among, fused, ranked
 
 RERANK_POOL = 10
 #: Function words that carry no meaning for expansion.
@@ -55,8 +55,17 @@ def reranked(candidates: DataFrame, queries: DataFrame, k: int = 10, pool: int =
     """
     if scorer is None:
         return candidates.where(F.col("rank") <= k)
-    joined = candidates.where(F.col("rank") <= pool).withColumnRenamed("rank", "before").join(queries.select("query_id", F.col("query").alias("q")), "query_id")
-    scored = joined.withColumn("score", F.round(scorer(F.col("q"), F.col("content")), 6)).drop("q")
+    joined = candidates.where(F.col("rank") <= pool).join(queries.select("query_id", F.col("query").alias("q")), "query_id")
+    return reordered(rescored(joined, scorer).drop("q"), k)
+
+
+def rescored(joined: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
+    """Candidates, each with its query ``q``: their ``score`` by ``scorer``, and as ``before`` the rank they had."""
+    return joined.withColumnRenamed("rank", "before").withColumn("score", F.round(scorer(F.col("q"), F.col("content")), 6))
+
+
+def reordered(scored: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` best of every query by ``score``, ties by the rank ``before``."""
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "before")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -66,8 +75,8 @@ SENT_RESULTS = 100_000
 
 
 def with_contents(results: DataFrame, contents: DataFrame) -> DataFrame:
-    """``results`` with the contents of their ids; of contents that no result has, none is shuffled where ``results``, best kept, are few."""
-    return contents.join(F.broadcast(results), "id") if results.count() <= SENT_RESULTS else results.join(contents, "id")
+    """``results``, best kept, with the contents of their ids; of contents that no result has, none is shuffled where results are few, and only a small part where they are many."""
+    return contents.join(F.broadcast(results), "id") if results.count() <= SENT_RESULTS else results.join(among(contents, "id", results), "id")
 
 
 def retrieve(first: DataFrame | None, second: DataFrame | None, contents: DataFrame, queries: DataFrame, k: int = 10, scorer: Callable[[Column, Column], Column] | None = lexical_score) -> DataFrame:
@@ -99,6 +108,22 @@ def truncated(text: Column, max_tokens: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.coalesce(F.substring(head, F.lit(1), at + 1), head), F.lit(CUT_MARK)))
 
 
+def block_cost() -> Column:
+    """What a result's block takes of the budget."""
+    return token_estimate(F.concat(context_block(), F.lit("\n\n")))
+
+
+def used_budget(costed: DataFrame) -> DataFrame:
+    """``costed`` (query_id, rank, cost, ...) with ``used``: what a result and those before it take of the budget."""
+    line = W.partitionBy("query_id").orderBy("rank")
+    return costed.withColumn("used", F.sum("cost").over(line.rowsBetween(W.unboundedPreceding, 0)) + F.greatest(F.col("rank") - 2, F.lit(0)))
+
+
+def packed_costs(costed: DataFrame, max_tokens: int = 3600) -> DataFrame:
+    """``packed_context`` without the blocks, of results (query_id, rank, id, cost) that come without their contents: query_id, rank, id, used."""
+    return used_budget(costed).where((F.col("used") <= max_tokens) | ((F.col("rank") == 1) & (F.col("used") > max_tokens))).select("query_id", "rank", "id", "used")
+
+
 def packed_context(results: DataFrame, max_tokens: int = 3600) -> DataFrame:
     """The leading results of each query that fit the budget, numbered: query_id, rank, id, block, used.
 
@@ -106,10 +131,7 @@ def packed_context(results: DataFrame, max_tokens: int = 3600) -> DataFrame:
     breaks; after each block one more is spent that the check doesn't see. If not even the first
     one fits, it is truncated and stands alone.
     """
-    block = context_block()
-    cost = token_estimate(F.concat(block, F.lit("\n\n")))
-    line = W.partitionBy("query_id").orderBy("rank")
-    rows = results.withColumn("block", block).withColumn("cost", cost).withColumn("used", F.sum("cost").over(line.rowsBetween(W.unboundedPreceding, 0)) + F.greatest(F.col("rank") - 2, F.lit(0)))
+    rows = used_budget(results.withColumn("block", context_block()).withColumn("cost", block_cost()))
     fits = rows.where(F.col("used") <= max_tokens).select("query_id", "rank", "id", "block", "used", "metadata", "content")
     first = rows.where((F.col("rank") == 1) & (F.col("used") > max_tokens)).select("query_id", "rank", "id", truncated(F.col("block"), max_tokens).alias("block"), "used", "metadata", "content")
     return fits.unionByName(first)

@@ -468,3 +468,41 @@ def test_search_shuffles_no_more_with_more_partitions(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.catalog.clearCache()
+
+
+def test_context_pack_keeps_no_contents(spark, data, monkeypatch):
+    """What context_pack keeps of its results are numbers and names, no contents."""
+    from quirelake import catalog, session
+    from quirelake.operators import retrieval
+
+    kept, real = [], session.keep
+    for where in (catalog, index, retrieval, session):
+        monkeypatch.setattr(where, "keep", lambda df: kept.append(df) or real(df))
+    out = catalog.queries()["context_pack"](spark, f"{data}/sf0.01")
+    assert [x for x in kept if "query_id" in x.columns] and not [x for x in kept if {"query_id", "content"} <= set(x.columns)]
+    assert out.count()
+    spark.catalog.clearCache()
+
+
+def test_many_results_and_repeated_keys(spark, monkeypatch):
+    """Beyond the bounds of what is sent, rows without a result or a repeated key still stay where they are; the rows are the same."""
+    from quirelake.catalog import _one_each
+    from quirelake.operators import retrieval
+
+    contents = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(3000)] + [(None, "none")], "id string, content string").repartition(5)
+    results = spark.createDataFrame([(q, f"c{i * 7}", i) for q in range(3) for i in range(q, q + 40)] + [(9, "nowhere", 1)], "query_id int, id string, rank int")
+    want = rows(retrieval.with_contents(results, contents), "query_id", "id", "rank", "content")
+    assert len(want) == 120
+    assert results.select("id").distinct().count() - 1 == 42 <= index.among(contents, "id", results).count() < 100
+    again = spark.createDataFrame([(f"k{i % 2900}", f"text {i}", i) for i in range(3000)], "chunk_id string, content string, metadata int").repartition(5)
+    once_each = rows(_one_each(again), "chunk_id", "content", "metadata")
+    gathered = []
+    got = index.distinct_by(again, "chunk_id", lambda df: gathered.append(df) or _one_each(df), sent=99)
+    assert rows(got, "chunk_id", "content", "metadata") == once_each and len(once_each) == 2900
+    assert 200 <= gathered[0].count() < 300
+    for bits in (64, 1 << 16):  # keys that the map can't tell from each other
+        monkeypatch.setattr(index, "KEY_BITS", bits)
+        monkeypatch.setattr(retrieval, "SENT_RESULTS", 0)
+        assert rows(retrieval.with_contents(results, contents), "query_id", "id", "rank", "content") == want
+        assert rows(index.distinct_by(again, "chunk_id", _one_each, sent=0), "chunk_id", "content", "metadata") == once_each
+    spark.catalog.clearCache()
